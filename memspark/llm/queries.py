@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash
+from . import mixing, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.op2_simhash,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op7_mixing": mixing.op7_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality_rules.ORACLE_SQL,
+        "op7_mixing": mixing.ORACLE_SQL,
     }
