@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm, mixing, packing, quality_rules, simhash
+from . import fm, mixing, packing, quality_rules, simhash, toxic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": mixing.op7_mixing,
         "op8_quality_fm": fm.op8_quality_fm,
         "op9_packing": packing.op9_packing,
-        # "op10_toxic_segments": toxic.op10_toxic_segments,
+        "op10_toxic_segments": toxic.op10_toxic_segments,
     }
 
 
