@@ -55,7 +55,9 @@ def test_planted_passage_is_found_where_it_lies(spark):
     model = toxic.fit_sample(both, both.select("doc_id", "toxic"))
     found = toxic.passages(both, model).collect()
     assert {r.doc_id for r in found} == {b[0] for b in bad}
-    assert all(r.first_word <= 30 and r.end_word >= 33 and r.end_word - r.first_word < 20 and r.expected < toxic.REPORT_E for r in found)
+    spans = {d: [(r.first_word, r.end_word) for r in found if r.doc_id == d] for d, *_ in bad}
+    assert all(any(a <= 30 and b >= 33 for a, b in s) for s in spans.values()), spans
+    assert sum(s == [(30, 33)] for s in spans.values()) > 30
     assert {r.doc_id for r in toxic.scored(both, model).collect() if r.predicted} == {b[0] for b in bad}
 
 
