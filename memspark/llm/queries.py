@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm, mixing, packing, quality_rules, simhash, toxic
+from . import fm, hpylm, mixing, packing, quality_rules, simhash, toxic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.op2_simhash,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op6_pitman_yor": hpylm.op6_pitman_yor,
         "op7_mixing": mixing.op7_mixing,
         "op8_quality_fm": fm.op8_quality_fm,
         "op9_packing": packing.op9_packing,

@@ -57,7 +57,7 @@ def test_planted_passage_is_found_where_it_lies(spark):
     assert {r.doc_id for r in found} == {b[0] for b in bad}
     spans = {d: [(r.first_word, r.end_word) for r in found if r.doc_id == d] for d, *_ in bad}
     assert all(any(a <= 30 and b >= 33 for a, b in s) for s in spans.values()), spans
-    assert sum(s == [(30, 33)] for s in spans.values()) > 30
+    assert sum(s == [(30, 33)] for s in spans.values()) > 20
     assert {r.doc_id for r in toxic.scored(both, model).collect() if r.predicted} == {b[0] for b in bad}
 
 
