@@ -45,7 +45,9 @@ def measured(docs: DataFrame, text: Column, carry: dict[str, Column]) -> DataFra
     # Only texts in which a window repeats are sorted.
     d = d.select(*base, F.expr("if(size(array_distinct(_windows)) < size(_windows), sort_array(transform(_windows, (h, i) -> struct(h, i))), cast(array() as array<struct<h: bigint, i: int>>))").alias("_sorted"))
     d = d.select(*base, F.expr("sort_array(transform(filter(_sorted, (x, k) -> x.h = get(_sorted, k - 1).h or x.h = get(_sorted, k + 1).h), x -> x.i))").alias("_starts"))
-    return d.select(*base, F.expr("aggregate(transform(_starts, (p, k) -> least(5, coalesce(get(_starts, k + 1) - p, 5))), 0L, (a, b) -> a + b)").alias("n_repeat_words"))
+    repeats = F.expr("aggregate(transform(_starts, (p, k) -> least(5, coalesce(get(_starts, k + 1) - p, 5))), 0L, (a, b) -> a + b)")
+    # A generator, so that filters on the counts stay above it and their expressions are not copied into the filters.
+    return d.select(*kept, F.inline(F.array(F.struct(*base[len(kept) :], repeats.alias("n_repeat_words")))))
 
 
 def base_failed() -> Column:
