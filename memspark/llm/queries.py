@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm, hpylm, mixing, packing, quality_rules, simhash, toxic
+from . import fm, hpylm, mixing, packing, quality_rules, simhash, toxic, wacz
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.op2_simhash,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_wacz": wacz.op5_wacz,
         "op6_pitman_yor": hpylm.op6_pitman_yor,
         "op7_mixing": mixing.op7_mixing,
         "op8_quality_fm": fm.op8_quality_fm,
@@ -24,5 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality_rules.ORACLE_SQL,
+        "op5_wacz": wacz.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
     }
