@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm, hpylm, mixing, packing, quality_rules, simhash, toxic, wacz
+from . import embed_lsh, fm, hpylm, licenses, mixing, packing, quality_rules, simhash, toxic, wacz
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licenses.op1_license_scan,
         "op2_simhash": simhash.op2_simhash,
+        "op3_embedding_lsh": embed_lsh.op3_embedding_lsh,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_wacz": wacz.op5_wacz,
         "op6_pitman_yor": hpylm.op6_pitman_yor,
@@ -24,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_embedding_lsh": embed_lsh.ORACLE_SQL,
         "op4_quality_rules": quality_rules.ORACLE_SQL,
         "op5_wacz": wacz.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
