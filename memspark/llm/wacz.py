@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read, scratch_dir
 
-#: Records of a package on average; bytes after which one is closed; index rows of a reading range; bytes read at once.
+#: Records of a package at most; bytes after which one is closed; index rows of a reading range; bytes read at once.
 PACKAGE_RECORDS, PACKAGE_BYTES, RANGE_RECORDS, READ_BYTES = 2000, 64 << 20, 500, 8 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads shorter than this are responses, whatever else is equal to them.
@@ -182,11 +182,9 @@ def write_packages(pages: DataFrame, folder: str, package_records: int = PACKAGE
     last = cut(rows.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha1", "last"))
     repeats = F.coalesce(F.octet_length("html") >= least_revisit, F.lit(False)) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     rows = rows.join(last, "sha1", "left").select("page_id", "url", F.octet_length("html").cast("long").alias("size"), "sha1", F.when(repeats, F.col("last")).alias("refers"), F.when(~repeats, F.col("html")).alias("html"))
-    packages = max(1, -(-pages.count() // package_records))
-    rows = rows.withColumn("package", F.pmod(F.xxhash64("page_id", "url", "sha1"), F.lit(packages)))
 
     def write(batches):
-        """One package for each run of records of a task: a task gets whole packages or several."""
+        """Packages of a task's records, as they come from the join: payloads are shuffled once at most."""
         held: list[bytes] = []
         size = 0
 
@@ -213,7 +211,7 @@ def write_packages(pages: DataFrame, folder: str, package_records: int = PACKAGE
         if held:
             yield out()
 
-    return cut(rows.repartition(packages, "package").drop("package").mapInArrow(write, "path string, records long"))
+    return cut(rows.mapInArrow(write, "path string, records long"))
 
 
 def read_packages(manifest: DataFrame, payloads: bool = True) -> DataFrame:
