@@ -140,7 +140,7 @@ VALENCE = {"contradicts": "contrasting", "supersedes": "superseded", "qualifies"
 def valence(edges: DataFrame) -> DataFrame:
     """One class per target: of its edges' classes the first in order of precedence, neutral if there is none."""
     ranks = {k: i for i, k in enumerate(VALENCE)}
-    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), "relation"), F.lit(len(ranks)))
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col("relation")], F.lit(len(ranks)))
     names = F.array(*[F.lit(v) for v in [*VALENCE.values(), "neutral"]])
     return edges.groupBy("target_id").agg(F.min(rank).alias("_r")).select("target_id", F.element_at(names, F.col("_r") + 1).alias("valence"))
 

@@ -426,9 +426,9 @@ def co_retrieved(spark, d):
     return gr.co_retrieved(pairs, ad.nodes(spark, d)).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
-@query("co_cited", with_sql(", x AS (SELECT DISTINCT source_id, target_id FROM edges WHERE weight > 0.18) SELECT a.target_id AS a, b.target_id AS b, round(least(0.6::double, 0.3::double + 0.05::double * (count(*) - 1)), 6) AS weight FROM x a JOIN x b ON a.source_id = b.source_id AND a.target_id < b.target_id GROUP BY ALL", "edges"))
+@query("co_cited", with_sql(", x AS (SELECT DISTINCT source_id, target_id FROM edges WHERE weight > 0.19) SELECT a.target_id AS a, b.target_id AS b, round(least(0.6::double, 0.3::double + 0.05::double * (count(*) - 1)), 6) AS weight FROM x a JOIN x b ON a.source_id = b.source_id AND a.target_id < b.target_id GROUP BY ALL", "edges"))
 def co_cited(spark, d):
-    return gr.co_cited(ad.edges(spark, d).where("weight > 0.18")).select("a", "b", F.round("weight", 6).alias("weight"))
+    return gr.co_cited(ad.edges(spark, d).where("weight > 0.19")).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 @query("belief_gain", with_sql(", c AS (SELECT 's' || s_suppkey::varchar AS node_id, s_acctbal / 10000 AS confidence FROM supplier) SELECT target_id, round(0.1 * max(confidence * weight), 6) AS gain FROM edges JOIN c ON source_id = node_id GROUP BY target_id", "edges"))
