@@ -1 +1,3 @@
-"""memspark.plans"""
+"""Named queries: importing the package registers them all."""
+
+from . import queries, walks  # noqa: F401

@@ -20,7 +20,7 @@ def duck(sf_dir):
 
 def rows(df, cols):
     def plain(x):
-        if x is None or x != x or str(x) in ("<NA>", "NaT"):
+        if x is None or str(x) in ("<NA>", "NaT", "nan"):
             return "null"
         return str(float(x)) if isinstance(x, int | float) and not isinstance(x, bool) else str(x)
 
