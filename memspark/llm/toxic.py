@@ -25,6 +25,8 @@ from .common import cut, held_out, read, words_of
 FIT_ROWS = 20_000
 #: Bytes of the beginnings that stand in for rare words; the prior's weight in texts; least evidence of a listed word.
 BEGINNINGS, PRIOR, LEAST_Z, LEAST_ODDS, LEAST_TEXTS = (10, 8, 7, 6, 5, 4), 5.0, 3.0, 1.5, 3
+#: A listed word is in this share of the toxic texts at least: what a few related texts have in common marks them, not toxicity.
+LEAST_SHARE = 0.02
 #: Score of a word that isn't listed; a passage is reported if less than this number is expected by chance.
 OTHER, REPORT_E = -0.05, 0.05
 _EDGES = b".,;:!?\"'()[]{}#*$%&|<>-_"
@@ -133,7 +135,7 @@ def _listed(sample: DataFrame) -> dict[bytes, float]:
     prior = F.lit(0.5) + F.lit(PRIOR) * (F.col("c") + F.col("t")) / F.lit(float(nt + nc))
     odds = lambda seen, n: F.log(seen + prior) - F.log(F.greatest(F.lit(float(n)) - seen, F.lit(0.0)) + F.lit(PRIOR + 1) - prior)
     z = F.col("odds") / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    found = counts.filter(F.col("t") >= LEAST_TEXTS).withColumn("odds", odds(F.col("t"), nt) - odds(F.col("c"), nc)).filter((F.col("odds") >= LEAST_ODDS) & (z >= LEAST_Z))
+    found = counts.filter(F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * nt)).withColumn("odds", odds(F.col("t"), nt) - odds(F.col("c"), nc)).filter((F.col("odds") >= LEAST_ODDS) & (z >= LEAST_Z))
     return {bytes(r.token): float(r.odds) for r in found.collect()}
 
 
