@@ -15,15 +15,15 @@ from ..sources.adapters import NOW, with_sql
 from .queries import query
 
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: length(x) >= {n}))"
-MARKER = "stand|tionand"
+MARKER = "hand|that"
 
 
 @query("led_to_edges", with_sql(f""", w AS (SELECT id, ts, regexp_matches(text, '{MARKER}') AS marked, unnest({_WORDS.format(c="text", n=4)}) AS token FROM journal),
-few AS (SELECT token FROM w GROUP BY token HAVING count(*) BETWEEN 2 AND 12), k AS (SELECT w.* FROM w JOIN few USING (token))
+few AS (SELECT token FROM w GROUP BY token HAVING count(*) BETWEEN 2 AND 40), k AS (SELECT w.* FROM w JOIN few USING (token))
 SELECT DISTINCT a.id AS source_id, b.id AS target_id, 0.3::double AS weight FROM k a JOIN k b ON a.token = b.token WHERE b.marked AND b.ts - a.ts BETWEEN 300 AND 2592000""", "journal"))
 def led_to_edges(spark: SparkSession, d: str) -> DataFrame:
     j = ad.journal(spark, d).select(F.col("id").alias("node_id"), F.col("text").alias("content"), F.col("ts").alias("created_at"))
-    return mn.led_to(j, MARKER, 12).drop("relation")
+    return mn.led_to(j, MARKER, 40).drop("relation")
 
 
 @query("dream_bridges", with_sql(f""", s AS (SELECT node_id, {_WORDS.format(c="content", n=3)} AS w FROM nodes), e AS (SELECT * FROM edges WHERE weight >= 0.2),
