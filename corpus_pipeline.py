@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import fm, mixing, packing, quality_rules, simhash
+from memspark.llm import fm, mixing, packing, quality_rules, shingles
 from memspark.llm.common import cut, read, scratch_dir
 
 #: Share of the kept tokens that goes into the mixture, in thousandths.
@@ -29,10 +29,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of near copies.
+    """Keeps the document with the smallest doc_id of each component of near copies (similarity 0.8 or more of 5-word shingles).
 
     Of repeated rows with that doc_id all stay; rows without an id stay only where no row of the component has one."""
-    found = simhash.near_duplicates(docs)
+    found = shingles.near_copies(docs)
     gone = cut(found.filter("doc_id is null and component_id is not null or doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
@@ -50,12 +50,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", classify),
     ("quality rules", rules),
-    ("simhash near-dedup", near_copies),
+    ("shingle near-dedup", near_copies),
     ("mixing to target weights", mix),
     ("best-fit packing", pack),
 ]
 
-#: The classifier and SimHash can't be written in SQL.
+#: The classifier and the near copies can't be written in SQL.
 ORACLE_SQL = None
 
 
