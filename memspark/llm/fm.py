@@ -20,8 +20,6 @@ from .common import held_out, read, words_of
 
 #: Buckets of hashed words, rank of the interactions, labelled rows fitted at most, passes over them.
 BUCKETS, RANK, FIT_ROWS, EPOCHS = 1 << 14, 8, 6000, 12
-#: Words of a text that a fitted row keeps at most (the most frequent); scoring uses all words.
-FIT_WORDS = 400
 _MARKS = b"#*$%&|<>!"
 STRUCTURE = 16
 
@@ -58,18 +56,17 @@ def structure(words: list[bytes], text: str) -> list[float]:
         sum(w[-1:] in b".,;:?!" for w in words) / n,
         len(set(lines)) / len(lines),
         min(1.0, n / len(lines) / 200),
-        min(1.0, sum(c in b"0123456789" for c in raw[:: max(1, size // 2000)]) / min(size, 2000)),
+        (size - len(raw.translate(None, b"0123456789"))) / size,
         sum(w == z for w, z in zip(words, words[1:])) / n,
         1.0 if n < 10 else 0.0,
     ]
 
 
-def features(text: str | None, most_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a whole text: hashed words (logarithmic counts, unit length) after the structure."""
     words = words_of(text)
     shape = np.array(structure(words, text or ""))
-    counts = Counter(words)
-    counts = counts.most_common(most_words) if most_words else counts.items()
+    counts = Counter(words).items()
     crc = zlib.crc32
     at = np.fromiter((crc(w) % BUCKETS for w, _ in counts), np.int64, len(counts))
     seen = np.bincount(at, np.fromiter((c for _, c in counts), np.float64, len(counts)), BUCKETS) if len(counts) else np.zeros(BUCKETS)
@@ -125,12 +122,12 @@ def fit_sample(docs: DataFrame, labels: DataFrame, held: tuple[int, int] | None
 
     def encode(batches):
         for b in batches:
-            made = [features(t, FIT_WORDS) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [a.tobytes() for a, _ in made], "x": [x.tobytes() for _, x in made]})
+            made = [features(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [a.astype(np.uint16).tobytes() for a, _ in made], "x": [x.tobytes() for _, x in made]})
 
     kept = sample.select(F.col("doc_id").cast("string"), "y", "text").mapInPandas(encode, "doc_id string, y int, at binary, x binary")
     got = sorted((r.doc_id, r.y, r.at, r.x) for r in kept.collect())
-    return fit([(np.frombuffer(a, np.int64), np.frombuffer(x, np.float64)) for _, _, a, x in got], [y for _, y, _, _ in got])
+    return fit([(np.frombuffer(a, np.uint16), np.frombuffer(x, np.float64)) for _, _, a, x in got], [y for _, y, _, _ in got])
 
 
 def scorer(spark: SparkSession, model: Model):

@@ -46,3 +46,24 @@ def test_nulls_long_texts_empty_tables_and_repeats(spark):
     assert fm.classified(docs.filter(F.lit(False)), model).count() == 0
     mixed = spark.createDataFrame([(None, 1), (1, None), (2, 7), (2, 1), (3, 0)], "doc_id long, quality int")
     assert fm.fit_sample(docs, mixed, held=None).w.shape == model.w.shape
+
+
+def test_digits_of_a_whole_text_count_once():
+    for n in (10, 1500, 2500, 3999, 4000, 9001):
+        text = ("7" * 4 + " " + "a" * 5) * (n // 10) + "b" * (n % 10)
+        at, x = fm.features(text)
+        share = dict(zip(at.tolist(), x.tolist()))[13] / 2
+        assert abs(share - sum(c.isdigit() for c in text) / len(text)) < 1e-12
+
+
+def test_fitting_and_scoring_see_the_same_words_of_long_texts(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(900)) for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(fm, "fit", lambda rows, y: seen.extend(rows))
+    fm.fit_sample(docs, labels, held=None)
+    assert len(seen) == 6
+    for (at, x), text in zip(seen, texts):
+        want_at, want_x = fm.features(text)
+        assert (at == want_at).all() and (x == want_x).all()
