@@ -1,10 +1,15 @@
 """License scans by patience alignment.
 
-Words that occur once in a stretch of text and once in the template are anchors; the
-longest run of them in the same order in both is kept, and the gaps between anchors are
-aligned the same way. The share of the template's words that are matched is its coverage.
-A text is aligned only where enough of a template's words occur for the coverage wanted,
-so nothing that could reach it is passed over."""
+Words that occur once in a stretch of text and once in the template are anchors (where no word does,
+runs of two to four words are); the longest run of anchors in the same order in both is kept, and the
+gaps between them are aligned the same way. The share of the template's words that are matched is its
+coverage.
+
+Where to align: of a text only the template's own words are looked at. Runs of them that the template
+has, too, say where it would begin; beginnings that lie close together make one stretch. A passage of
+coverage 0.8 has such a run: its missing words cut it into pieces, one of which has three words at
+least (two in short templates). What was found is taken out, and what is left between is searched
+again until nothing is found."""
 
 from __future__ import annotations
 
@@ -20,6 +25,8 @@ from .common import read
 
 #: Coverage of a template from which on a passage is reported.
 COVERAGE = 0.8
+#: Lengths of runs of words that serve as anchors, in order of trial; template lengths of text that a passage spans at most.
+RUNS, LENGTHS = (1, 2, 3, 4), 2
 
 # Short license notices as their publishers word them.
 TEMPLATES = {
@@ -85,6 +92,16 @@ def increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _anchors(a: list[bytes], b: list[bytes], n: int) -> list[tuple[int, int]]:
+    """Places of runs of n words that occur once in a and once in b: the longest increasing run of them."""
+    runs = lambda x: list(x) if n == 1 else list(zip(*(x[k:] for k in range(n))))
+    of_a, of_b = runs(a), runs(b)
+    in_a, in_b = Counter(of_a), Counter(of_b)
+    at = {w: i for i, w in enumerate(of_a) if in_a[w] == 1}
+    met = [(at[w], j) for j, w in enumerate(of_b) if in_b[w] == 1 and w in at]
+    return [met[x] for x in increasing([p for p, _ in met])]
+
+
 def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     """Matched places (in a, in b), increasing in both: equal ends of a stretch, then anchors, then the gaps between them."""
     found, todo = [], [(0, len(a), 0, len(b))]
@@ -98,60 +115,87 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
             found.append((j, m))
         if i >= j or k >= m:
             continue
-        in_a, in_b = Counter(a[i:j]), Counter(b[k:m])
-        at = {w: x for x, w in enumerate(a[i:j], i) if in_a[w] == 1}
-        anchors = [(at[w], y) for y, w in enumerate(b[k:m], k) if in_b[w] == 1 and w in at]
-        kept = [anchors[x] for x in increasing([p for p, _ in anchors])]
-        found += kept
-        if kept:
-            edges = [(i - 1, k - 1), *kept, (j, m)]
-            todo += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:])]
+        for n in RUNS:
+            if kept := [(i + x, k + y) for x, y in _anchors(a[i:j], b[k:m], n)]:
+                found += kept
+                edges = [(i - 1, k - 1), *kept, (j, m)]
+                todo += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:])]
+                break
     return sorted(found)
 
 
+class _Template:
+    def __init__(self, name: str, words: list[bytes]):
+        self.name, self.words, self.counts, self.own = name, words, Counter(words), set(words)
+        self.run = 3 if len(words) >= 12 else 2 if len(words) >= 4 else 1
+        self.runs: dict[tuple, list[int]] = {}
+        for j in range(len(words) - self.run + 1):
+            self.runs.setdefault(tuple(words[j : j + self.run]), []).append(j)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.coverage = coverage
-        self.templates = [(name, t, Counter(t), set(t)) for name, t in ((n, [w for w in words(x) if w]) for n, x in templates.items()) if t]
-        self.known = set().union(*(s for *_, s in self.templates)) if self.templates else set()
-
-    def _enough(self, present: set[bytes], counts: Counter, size: int) -> bool:
-        return sum(counts[w] for w in present if w in counts) >= self.coverage * size
+        self.templates = [_Template(name, t) for name, t in ((n, [w for w in words(x) if w]) for n, x in templates.items()) if t]
+        self.known = set().union(*(t.own for t in self.templates)) if self.templates else set()
+
+    def _matched(self, here: list[bytes], places: list[int], t: _Template) -> tuple[float, int, int] | None:
+        """(coverage, first and last index in here) of the template's passage, at most LENGTHS template lengths of text long."""
+        size, pairs = len(t.words), []
+        if sum((Counter(here) & t.counts).values()) >= self.coverage * size:
+            pairs = [i for i, _ in align(here, t.words)]
+        while pairs and places[pairs[-1]] - places[pairs[0]] >= LENGTHS * size:
+            # The end that is farther from its neighbour goes.
+            pairs = pairs[1:] if len(pairs) > 1 and places[pairs[1]] - places[pairs[0]] >= places[pairs[-1]] - places[pairs[-2]] else pairs[:-1]
+        return (len(pairs) / size, pairs[0], pairs[-1]) if pairs and len(pairs) >= self.coverage * size else None
+
+    def _search(self, seq: list[bytes], places: list[int], t: _Template) -> list[tuple[float, int, int]]:
+        """(coverage, first, last index in seq) of all passages of a template; seq: its own words in a text."""
+        size, out, todo = len(t.words), [], [(0, len(seq))]
+        slack, near = size // 4 + 2, max(2, size // 10)
+        while todo:
+            low, high = todo.pop()
+            starts = sorted({i - j for i in range(low, high - t.run + 1) for j in t.runs.get(tuple(seq[i : i + t.run]), ())})
+            groups: list[list[int]] = []
+            for s in starts:
+                if groups and s - groups[-1][1] <= near and s - groups[-1][0] <= slack:
+                    groups[-1][1] = s
+                else:
+                    groups.append([s, s])
+            seen = []
+            for first, last in groups:
+                for a, b in {(first, last + size), (first - slack, last + size + slack)}:
+                    a, b = max(low, a), min(high, b)
+                    if b - a >= self.coverage * size and (hit := self._matched(seq[a:b], places[a:b], t)):
+                        seen.append((hit[0], a + hit[1], a + hit[2]))
+            taken: list[tuple[float, int, int]] = []
+            for c, x, y in sorted(set(seen), key=lambda r: (-r[0], r[2] - r[1], r[1])):
+                if all(y < p or x > q for _, p, q in taken):
+                    taken.append((c, x, y))
+            if taken:
+                out += taken
+                taken.sort(key=lambda r: r[1])
+                edges = [low - 1, *(v for _, x, y in taken for v in (x, y)), high]
+                todo += [(p + 1, q) for p, q in zip(edges[::2], edges[1::2]) if q - p - 1 >= self.coverage * size]
+        return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, past the last) of each passage, by place; overlaps of a template give its best."""
+        """(template, coverage, first word, past the last) of each passage, by place; passages of one template don't overlap."""
         all_words = words(text)
         present = self.known.intersection(all_words)
         out = []
-        for name, template, counts, own in self.templates:
-            size = len(template)
-            if not self._enough(present & own, counts, size):
+        for t in self.templates:
+            if sum(t.counts[w] for w in present if w in t.counts) < self.coverage * len(t.words):
                 continue
-            spots = [i for i, w in enumerate(all_words) if w in own]
-            seen, start = [], 0
-            first = spots[0] // size
-            for k in range(max(0, first - 2), spots[-1] // size + 1):
-                # Stretches of three template lengths, one apart: a passage of up to two lengths lies within one.
-                a, b = bisect_left(spots, k * size, start), bisect_left(spots, (k + 3) * size)
-                start = a
-                here = [all_words[i] for i in spots[a:b]]
-                if not self._enough(set(here), counts, size):
-                    continue
-                pairs = align(here, template)
-                if pairs and len(pairs) >= self.coverage * size:
-                    seen.append((len(pairs) / size, spots[a + pairs[0][0]], spots[a + pairs[-1][0]] + 1))
-            taken: list[tuple[float, int, int]] = []
-            for c, x, y in sorted(set(seen), key=lambda r: (-r[0], r[2] - r[1], r[1])):
-                if all(y <= p or x >= q for _, p, q in taken):
-                    taken.append((c, x, y))
-            out += [(name, c, x, y) for c, x, y in taken]
+            places = [i for i, w in enumerate(all_words) if w in t.own]
+            out += [(t.name, c, places[x], places[y] + 1) for c, x, y in self._search([all_words[i] for i in places], places, t)]
         return sorted(out, key=lambda r: (r[2], r[0]))
 
 
 def passages(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """docs: doc_id, text. One row for each passage of each whole text: doc_id, license, coverage, first_word, end_word.
 
-    A passage's matched words cover at least `coverage` of the template's. Texts without one (null and empty
+    A passage's matched words cover at least `coverage` of the template's and lie within LENGTHS template lengths of text. Texts without one (null and empty
     ones too) give no rows; repeated rows and null ids give theirs. An empty table gives no rows."""
     chosen = TEMPLATES if templates is None else templates
     kind = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())]))

@@ -71,5 +71,44 @@ def test_lines_in_documents_are_found(spark):
     assert len(got - want) <= 0.02 * len(got)
 
 
+def test_adjacent_copies_after_words_of_the_template_are_all_found():
+    rng, scanner, missed, all_ = random.Random(3), lic.Scanner(lic.TEMPLATES), 0, 0
+    for name, text in lic.TEMPLATES.items():
+        own = lic.words(text)
+        for copies in (1, 2, 3, 5):
+            for before in range(12):
+                lead = " ".join(rng.choice(own).decode() for _ in range(before))
+                got = [r for r in scanner.scan(f"{lead} " + " ".join([text] * copies)) if r[0] == name]
+                missed, all_ = missed + max(0, copies - len(got)), all_ + copies
+    assert missed <= 0.01 * all_
+
+
+def test_edited_copies_amid_words_of_their_own_are_found():
+    """Against the definition: a passage is there if the longest common subsequence covers 0.8 of the template."""
+    rng, scanner, missed, all_ = random.Random(4), lic.Scanner(lic.TEMPLATES), 0, 0
+    for _ in range(60):
+        for name, text in lic.TEMPLATES.items():
+            w = text.split()
+            own = w + ["the", "of", "to"]
+            for _ in range(rng.randrange(len(w) // 9 + 1)):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], ["other"], [w[k], "extra"], [rng.choice(own)]])
+            around = [rng.choice(own) for _ in range(rng.randrange(60))]
+            full = around[:30] + w + around[30:]
+            if longest(lic.words(text), lic.words(" ".join(w))) >= 0.8 * len(lic.words(text)):
+                all_ += 1
+                missed += not any(r[0] == name and r[2] < 30 + len(w) and r[3] > min(30, len(around)) for r in scanner.scan(" ".join(full)))
+    assert all_ > 400 and missed <= 0.01 * all_, (missed, all_)
+
+
+def test_repeated_rows_null_ids_and_scattered_words(spark):
+    mit = lic.TEMPLATES["mit-line"]
+    apart = " ".join(w + " x" * 9 for w in mit.split())
+    rows = [(None, mit), (None, mit), (1, mit), (1, mit), (2, apart), (3, "word " * 60000 + mit)]
+    got = lic.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "3", "None", "None"]
+    assert [r.first_word for r in got if r.doc_id == 3] == [60000]
+
+
 def test_empty_table(spark):
     assert lic.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
