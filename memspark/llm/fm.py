@@ -32,15 +32,15 @@ class Model:
 
 
 def structure(words: list[bytes], text: str) -> list[float]:
-    """Shape of a text: how long, how varied, how much of it is marks, capitals, digits and repeats. All in 0..1 or near."""
+    """Shape of a whole text (words and lines as between ASCII blanks and line feeds): how long, how varied, how much of it is marks, capitals, digits and repeats. All in 0..1 or near."""
     n = len(words)
     if not n:
         return [1.0] + [0.0] * (STRUCTURE - 1)
     raw, counts = text.encode(), Counter(words)
     size = len(raw)
     marks = [raw.count(bytes([m])) for m in _MARKS]
-    lines = [x for x in text.split("\n") if x.strip()]
-    upper = sum(map(str.isupper, text.split()))
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    upper = sum(map(bytes.isupper, raw.split()))
     most = counts.most_common(1)[0][1]
     return [
         0.0,
@@ -123,11 +123,11 @@ def fit_sample(docs: DataFrame, labels: DataFrame, held: tuple[int, int] | None
     def encode(batches):
         for b in batches:
             made = [features(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [a.astype(np.uint16).tobytes() for a, _ in made], "x": [x.tobytes() for _, x in made]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [a.astype(np.uint16).tobytes() for a, _ in made], "x": [x.astype(np.float32).tobytes() for _, x in made]})
 
     kept = sample.select(F.col("doc_id").cast("string"), "y", "text").mapInPandas(encode, "doc_id string, y int, at binary, x binary")
     got = sorted((r.doc_id, r.y, r.at, r.x) for r in kept.collect())
-    return fit([(np.frombuffer(a, np.uint16), np.frombuffer(x, np.float64)) for _, _, a, x in got], [y for _, y, _, _ in got])
+    return fit([(np.frombuffer(a, np.uint16), np.frombuffer(x, np.float32).astype(np.float64)) for _, _, a, x in got], [y for _, y, _, _ in got])
 
 
 def scorer(spark: SparkSession, model: Model):

@@ -66,4 +66,9 @@ def test_fitting_and_scoring_see_the_same_words_of_long_texts(spark, monkeypatch
     assert len(seen) == 6
     for (at, x), text in zip(seen, texts):
         want_at, want_x = fm.features(text)
-        assert (at == want_at).all() and (x == want_x).all()
+        assert (at == want_at).all() and np.abs(x - want_x).max() < 1e-6
+
+
+def test_words_and_lines_part_at_ascii_blanks_only():
+    a, b = (dict(zip(*(v.tolist() for v in fm.features(t)))) for t in ("AB\u2003CD x\u2028y z", "ABxCD xxy z"))
+    assert a[1] == b[1] and a[12] == b[12]
