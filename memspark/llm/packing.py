@@ -1,8 +1,9 @@
 """Best-fit packing of documents into training sequences, under conflicts.
 
-Texts are cut into pieces of at most a sequence's length. Pieces are dealt by hash
-to shards of bounded size, and each shard is packed on its own, longest pieces
-first. Its open bins stand in order of what is left in them and carry bitmaps of
+Texts are cut into pieces of at most a sequence's length. Equal pieces are counted
+and numbered, and pieces are dealt by a hash of themselves and that number to shards
+of bounded size, so rows that repeat spread like others. Each shard is packed on its
+own, longest pieces first. Its open bins stand in order of what is left in them and carry bitmaps of
 the sources and duplicate clusters they hold; the search starts at the tightest
 bin that is large enough and goes on to its successors until a bin holds neither
 the piece's source nor its cluster. No bin of that kind: a new one is opened."""
@@ -71,9 +72,14 @@ def packed(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPAC
     rows = rows.withColumn("cluster", F.when(F.col("_all") > 0, F.col("cluster")))
     last = F.greatest(F.ceil(F.col("_all") / capacity), F.lit(1)).cast("int") - 1
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    rows = cut(rows.select("doc_id", "piece", F.least(F.lit(capacity), F.col("_all") - F.col("piece") * capacity).alias("n_tokens"), "source", "cluster"))
-    shards = max(1, -(-rows.count() // shard_pieces))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("long"))
+    rows = rows.select("doc_id", "piece", F.least(F.lit(capacity), F.col("_all") - F.col("piece") * capacity).alias("n_tokens"), "source", "cluster")
+    equal = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")))
+    shards = max(1, -(-(equal.agg(F.sum("_n")).first()[0] or 0) // shard_pieces))
+    # Numbers in two steps, so that no array is longer than the square root of the rows that are equal.
+    part = F.ceil(F.sqrt("_n")).cast("long")
+    steps = equal.withColumn("_part", part).withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.col("_part"))))
+    rows = steps.withColumn("_k", F.explode(F.sequence("_from", F.least(F.col("_from") + F.col("_part") - 1, "_n"))))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "_k"), F.lit(shards)).cast("long")).drop("_n", "_part", "_from", "_k")
     schema = RESULT.format(id=docs.schema["doc_id"].dataType.simpleString())
     return rows.groupBy("shard").applyInArrow(lambda t: _pack_shard(t, capacity), schema)
 

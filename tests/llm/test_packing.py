@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from memspark.llm import packing
 
 
@@ -48,5 +50,19 @@ def test_bins_hold_no_conflict_and_every_token_once(spark):
         assert len(sources) == len(set(sources)) and len(copies) == len(set(copies))
 
 
+def test_rows_that_repeat_spread_over_bounded_shards(spark):
+    one = spark.range(30_000).selectExpr("7L as doc_id", "'a b c' as text", "cast(null as string) as source")
+    got = packing.packed(one).groupBy((F.col("bin_id") / (1 << 32)).cast("int").alias("s")).count().collect()
+    assert len(got) == 15 and sum(r["count"] for r in got) == 30_000 and max(r["count"] for r in got) < 2 * packing.SHARD_PIECES
+
+
+def test_shards_cost_little_room(spark):
+    """Bins of sharded packing against those of one best fit over all pieces."""
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "w " * rng.randrange(1, 60), f"s{rng.randrange(300)}") for i in range(6000)], "doc_id long, text string, source string")
+    a, b = (packing.packed(docs, F.col("doc_id").cast("string"), 64, n).select("bin_id").distinct().count() for n in (500, 10**9))
+    assert a <= 1.05 * b
+
+
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
