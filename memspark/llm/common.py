@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: What separates words: space and the controls 0x09 to 0x0D, in Java's regular expressions.
 SPACES = "[\\x20\\x09-\\x0D]+"
+#: A key is hot from this many rows on, and if it has over one part in HOT_SHARE of all.
+HOT_LEAST, HOT_SHARE = 256, 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,11 +21,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir where it is set.
 
-    Only where it is unset (tests, one machine) a folder of our own is made and set."""
+    Only where it is unset and all runs in one process (tests) a folder of our own is made and set;
+    on a cluster the executors could not see it, so there an error is raised."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="memspark-")
+        named = context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="memspark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
@@ -40,6 +47,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back."""
+    df.write.parquet(path := scratch_dir(df.sparkSession, what))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_hot(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with dim, in which each key is once, so that no key of very many rows meets in one task.
+
+    Keys with over 1/HOT_SHARE of the rows (and HOT_LEAST rows) are HOT_SHARE at most, so their part of dim is
+    broadcast; the rest is a plain join. how: inner or left. Null keys match nothing. rows are read three times."""
+    n = rows.groupBy(key).count()
+    total = n.agg(F.sum("count")).first()[0] or 0
+    hot = cut(n.filter((F.col("count") > max(HOT_LEAST, total // HOT_SHARE)) & F.col(key).isNotNull()).select(F.col(key).alias("_hot")))
+    if hot.isEmpty():
+        return rows.join(dim, key, how)
+    hot = F.broadcast(hot)
+    few = cut(dim.join(hot, F.col(key) == F.col("_hot"), "left_semi"))
+    marked = rows.join(hot, F.col(key) == F.col("_hot"), "left")
+    often, other = marked.filter("_hot is not null").drop("_hot"), marked.filter("_hot is null").drop("_hot")
+    return often.join(F.broadcast(few), key, how).unionByName(other.join(dim, key, how))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a whole text in UTF-8 with A-Z lower-cased; null has none.
 

@@ -3,15 +3,14 @@
 Each round replaces links by links to smaller nodes (first around each smaller
 end, then around each larger end) until every component is a star around its
 smallest node. Links never meet on the driver, minima are pre-aggregated before
-the shuffle, and the joins stay plain shuffle joins, which adaptive execution
-can split when one node has very many links."""
+the shuffle, and the few nodes that have very many links get theirs by broadcast."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -33,10 +32,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _signature(links)
     for _ in range(max_rounds if before[0] else 0):
         low = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
-        lifted = links.join(low, F.col("a") == F.col("node"), "left").select(F.coalesce("low", "a").alias("a"), "b")
-        least = lifted.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
+        lifted = cut(join_hot(links, low.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("low", "a").alias("a"), "b"))
+        least = lifted.groupBy("b").agg(F.min("a").alias("low"))
         pairs = F.array(F.struct(F.col("low").alias("a"), F.col("b").alias("b")), F.struct(F.col("low").alias("a"), F.col("a").alias("b")))
-        links = cut(lifted.join(least, F.col("b") == F.col("node")).select(F.inline(pairs)).filter("a < b").distinct())
+        links = cut(join_hot(lifted, least, "b").select(F.inline(pairs)).filter("a < b").distinct())
         after = _signature(links)
         if after == before:
             break

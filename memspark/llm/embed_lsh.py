@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, join_hot, read
 from .components import connected_components
 
 COSINE, RECALL, SEED = 0.98, 0.9999, 23
@@ -138,7 +138,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     named = joined.join(least, "component").select("cid", "low")
     done = classes.select("cid", "m", "least").join(links, "cid", "left").join(named, "cid", "left")
     done = cut(done.select(F.col("cid").alias("copies"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("low", "least").alias("component_id")))
-    out = v.select("vec_id", "copies").join(done, "copies", "left")
+    out = join_hot(v.select("vec_id", "copies"), done, "copies", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("copies").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

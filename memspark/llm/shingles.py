@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, words_of
+from .common import cut, join_hot, words_of
 from .components import connected_components
 
 SEED, SHINGLE_WORDS, LEAST = 42, 5, 0.8
@@ -107,7 +107,7 @@ def labelled(marked: DataFrame, links: DataFrame) -> DataFrame:
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     named = linked.join(least, "component").select("fp", "least")
     labels = classes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(labels, "fp").select("id", "fp", "component_id")
+    return join_hot(marked, labels, "fp").select("id", "fp", "component_id")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, read, words_of
+from .common import cut, join_hot, read, words_of
 from .components import connected_components
 
 SEED = 42
@@ -68,7 +68,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     named = linked.join(least, "component").select("fp", "least")
     labels = classes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return join_hot(marked, labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
