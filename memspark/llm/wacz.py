@@ -5,7 +5,7 @@ member for each record) and indexes/index.cdxj (one line for each record, with i
 offset and length). Reading takes three ranges before any record: the end of the file,
 the central directory and the index; ZIP64 records and sizes are followed. Index rows
 are then dealt over the tasks, and each task reads just the ranges of its records, in
-order and joined where they touch. Packages are written below the shared folder under
+order and joined where they touch; how many tasks that are follows the packages' bytes. Packages are written below the shared folder under
 names that a retried task can't clash with; only those in the manifest are read."""
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import struct
 import uuid
 import zipfile
@@ -25,11 +26,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, scratch_dir
+from .common import cut, join_hot, read, scratch_dir
 
 #: Records of a package at most; bytes after which one is closed; index rows of a reading range; bytes read at once.
 PACKAGE_RECORDS, PACKAGE_BYTES, RANGE_RECORDS, READ_BYTES = 2000, 64 << 20, 500, 8 << 20
+#: Bytes of packages for each task that reads records.
+TASK_BYTES = 4 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Digests that occur more than once are broadcast up to this number; more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
 #: Payloads shorter than this are responses, whatever else is equal to them.
 LEAST_REVISIT = 0
 _DATE = "2024-01-01T00:00:00Z"
@@ -172,7 +177,7 @@ def read_ranges(uri: str, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
 
 
 def write_packages(pages: DataFrame, folder: str, package_records: int = PACKAGE_RECORDS, least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """pages: page_id (a whole number), url, html. Writes packages below folder; returns their manifest (path, records).
+    """pages: page_id (a whole number), url, html. Writes packages below folder; returns their manifest (path, records, bytes).
 
     Of pages with equal payloads of at least least_revisit bytes the one with the largest page_id is
     written as response, the others as revisits of it (repeats of that page_id are responses, too, and so
@@ -181,7 +186,8 @@ def write_packages(pages: DataFrame, folder: str, package_records: int = PACKAGE
     rows = rows.withColumn("sha1", F.sha1("html"))
     last = cut(rows.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha1", "last"))
     repeats = F.coalesce(F.octet_length("html") >= least_revisit, F.lit(False)) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    rows = rows.join(last, "sha1", "left").select("page_id", "url", F.octet_length("html").cast("long").alias("size"), "sha1", F.when(repeats, F.col("last")).alias("refers"), F.when(~repeats, F.col("html")).alias("html"))
+    rows = join_hot(rows, last, "sha1", "left") if last.count() > BROADCAST_DIGESTS else rows.join(F.broadcast(last), "sha1", "left")
+    rows = rows.select("page_id", "url", F.octet_length("html").cast("long").alias("size"), "sha1", F.when(repeats, F.col("last")).alias("refers"), F.when(~repeats, F.col("html")).alias("html"))
 
     def write(batches):
         """Packages of a task's records, as they come from the join: payloads are shuffled once at most."""
@@ -197,7 +203,7 @@ def write_packages(pages: DataFrame, folder: str, package_records: int = PACKAGE
             with system.open_output_stream(path) as f:
                 f.write(data.getbuffer())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], names=["path", "records"])
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64()), pa.array([data.tell()], pa.int64())], names=["path", "records", "bytes"])
 
         for b in batches:
             for r in b.to_pylist():
@@ -211,11 +217,11 @@ def write_packages(pages: DataFrame, folder: str, package_records: int = PACKAGE
         if held:
             yield out()
 
-    return cut(rows.mapInArrow(write, "path string, records long"))
+    return cut(rows.mapInArrow(write, "path string, records long, bytes long"))
 
 
 def read_packages(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """manifest: path. One row per record: path, page_id, url, record_type, payload_bytes, payload_digest, refers_to
+    """manifest: path, bytes. One row per record: path, page_id, url, record_type, payload_bytes, payload_digest, refers_to
     and, if asked for, payload (empty for revisits). Nothing is extracted; each task reads the ranges of its records."""
 
     def index(batches):
@@ -237,8 +243,9 @@ def read_packages(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                     out.append((r["path"], page, url, kind, size, sha1, refers, payload if payloads else None))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(schema.types)], schema=schema)
 
+    tasks = max(1, math.ceil((manifest.agg(F.sum("bytes")).first()[0] or 0) / TASK_BYTES))
     ranges = manifest.select("path").mapInArrow(index, "path string, first long, offsets array<long>, lengths array<long>")
-    out = ranges.repartition("path", "first").mapInArrow(records, "path string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    out = ranges.repartition(tasks, "path", "first").mapInArrow(records, "path string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
     return out if payloads else out.drop("payload")
 
 

@@ -6,7 +6,9 @@ import io
 import os
 import zipfile
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from memspark.llm import wacz
 
@@ -76,6 +78,27 @@ def test_round_trip_with_copies_nulls_and_long_pages(spark, tmp_path):
     assert {r.url for r in got} >= {"http://x/0", "again%0D%0AX: y", None}
 
 
+def test_sql_agrees_where_payloads_are_equal(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", None if i % 11 == 0 else "" if i % 7 == 0 else f"page {i % 40}" * (i % 5)) for i in range(600)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = wacz.op5_wacz(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(wacz.ORACLE_SQL).df()
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(want.columns)].astype(object).where(df.notna(), None).itertuples(index=False))
+    as_int = lambda df: df.assign(refers_to=df.refers_to.map(lambda v: None if v != v or v is None else str(int(v))))
+    assert rows(as_int(got)) == rows(as_int(want)) and (want.record_type == "revisit").sum() > 400
+
+
+def test_reading_is_spread_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wacz, "TASK_BYTES", 10_000)
+    monkeypatch.setattr(wacz, "RANGE_RECORDS", 20)
+    pages = spark.range(3000).selectExpr("id as page_id", "'u' as url", "cast(id as string) as html")
+    out = wacz.read_packages(wacz.write_packages(pages, str(tmp_path / "t"), package_records=300))
+    parts = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in parts) == 3000 and len(parts) > 10
+
+
 def test_empty_table(spark, tmp_path):
     manifest = wacz.write_packages(spark.createDataFrame([], SCHEMA), str(tmp_path / "e"))
     assert manifest.count() == 0 and wacz.read_packages(manifest).count() == 0
