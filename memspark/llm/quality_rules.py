@@ -2,22 +2,26 @@
 
 Every text is measured with SQL functions alone. KLL sketches of each measure are
 built for each (language, source), partly before the shuffle, and merged upwards
-into sketches of the language and of all rows. The limit of a measure is a fence
-around its quartiles; a leaf with too few rows takes its language's fence, and a
-language with too few the fence of all rows. Measures and limits are then joined."""
+into sketches of the language and of all rows. The limits of a measure are a high and
+a low quantile and a multiple of their distance beyond, so nothing but the data sets
+them; a leaf with too few rows takes its language's, and a language with too few those
+of all rows. Measures and limits are then joined.
+
+Sketches hold all values of up to SKETCH rows, so quantiles are exact there; beyond,
+their rank is off by under 0.2 % of the rows (99 % confidence, the same after merging)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, read
+from .common import SPACES, cut, read, written
 
 #: Rows that a leaf or a language needs for limits of its own; sketch size (exact up to about this many rows).
 LEAST_ROWS, SKETCH = 100, 2048
-#: A limit lies this many interquartile ranges beyond the quartile, and the measure's margin at least.
-RANGES = 3.0
-MARGINS = {"word_length": 3.0, "symbols": 0.15, "dup_lines": 0.3, "repeats": 0.15}
+#: Of each measure the high quantile (the low one is its mirror) and how many of their distances the limits lie beyond.
+#: Junk is more than a tail of word lengths and symbols, so those start at the quartiles; repeats are rare in any text.
+FENCES = {"word_length": (0.75, 6.0), "symbols": (0.75, 6.0), "dup_lines": (0.99, 1.0), "repeats": (0.99, 1.0)}
 #: Thresholds of at most this many leaves are broadcast; more are joined by a shuffle.
 BROADCAST_LEAVES = 100_000
 _BLANK = " \t\n\x0b\f\r"
@@ -60,9 +64,10 @@ def _ratios() -> dict[str, Column]:
 
 
 def _fence(sketch: str, name: str) -> tuple[Column, Column]:
+    high_at, ranges = FENCES[name]
     at = lambda r: F.kll_sketch_get_quantile_double(sketch, F.lit(r))
-    low, high = at(0.25), at(0.75)
-    reach = F.greatest(F.lit(RANGES) * (high - low), F.lit(MARGINS[name]))
+    low, high = at(round(1 - high_at, 9)), at(high_at)
+    reach = F.lit(ranges) * (high - low)
     return (low - reach).alias(f"{name}_low"), (high + reach).alias(f"{name}_high")
 
 
@@ -109,11 +114,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns and no others."""
+    """The rows of docs that quality_rules keeps, with all their columns and no others; each text is measured once."""
     row = {"_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "lang": F.col("lang"), "source": F.col("source")}
-    narrow = measured(docs, F.col("text"), {k: row[k] for k in ("lang", "source")})
-    fences = cut(limits(narrow))
-    return verdicts(measured(docs, F.col("text"), row), fences).filter("kept").select("_row.*")
+    measures = written(measured(docs, F.col("text"), row), "measures")
+    return verdicts(measures, cut(limits(measures))).filter("kept").select("_row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,21 +125,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_NAMES = list(MARGINS)
+_NAMES = list(FENCES)
 
 
 def _sql_fences(groups: str, prefix: str) -> str:
-    cols = ", ".join(
-        f"list_sort(list({n}))[ceil(0.25 * count(*))::int] AS {n}_q1, list_sort(list({n}))[ceil(0.75 * count(*))::int] AS {n}_q3" for n in _NAMES
-    )
+    at = lambda n, q, side: f"list_sort(list({n}))[greatest(1, ceil({q} * count(*)))::int] AS {n}_{side}"
+    cols = ", ".join(f"{at(n, round(1 - q, 9), 'low')}, {at(n, q, 'high')}" for n, (q, _) in FENCES.items())
     keys = f"{groups}, " if groups else ""
     return f"{prefix} AS (SELECT {keys}count(*) AS n, {cols} FROM r WHERE NOT base_failed {'GROUP BY ALL' if groups else ''})"
 
 
 def _sql_out(n: str) -> str:
     q = lambda s: f"CASE WHEN s.n >= {LEAST_ROWS} THEN s.{n}_{s} WHEN l.n >= {LEAST_ROWS} THEN l.{n}_{s} ELSE a.{n}_{s} END"
-    reach = f"greatest({RANGES} * (({q('q3')}) - ({q('q1')})), {MARGINS[n]})"
-    return f"coalesce(r.{n} < ({q('q1')}) - {reach} OR r.{n} > ({q('q3')}) + {reach}, false)"
+    reach = f"{FENCES[n][1]}::double * (({q('high')}) - ({q('low')}))"
+    return f"coalesce(r.{n} < ({q('low')}) - {reach} OR r.{n} > ({q('high')}) + {reach}, false)"
 
 
 ORACLE_SQL = rf"""
