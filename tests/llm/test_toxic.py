@@ -43,7 +43,9 @@ def test_held_out_accuracy(spark):
     assert len(rows) == 10000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     bad, good = ([r for r in rows if r.held_out and r.toxic == y] for y in (1, 0))
-    assert sum(r.predicted for r in bad) >= 0.85 * len(bad) and sum(r.predicted for r in good) <= 0.02 * len(good)
+    caught, wrong = sum(r.predicted for r in bad), sum(r.predicted for r in good)
+    print(f"toxic held out: {caught} of {len(bad)} caught; clean: {wrong} of {len(good)} called toxic")
+    assert caught >= 0.9 * len(bad) and wrong <= 0.01 * len(good)
 
 
 def test_planted_passage_is_found_where_it_lies(spark):
@@ -61,6 +63,32 @@ def test_planted_passage_is_found_where_it_lies(spark):
     assert {r.doc_id for r in toxic.scored(both, model).collect() if r.predicted} == {b[0] for b in bad}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"x", b"y", b"z"]), max_size=40))
+def test_segments_of_a_text_are_those_of_its_scores(words):
+    scores = toxic._Scores({b"=a": 1.0, b"=b": 2.5})
+    want = toxic.maximal_segments([scores[w] for w in words])
+    assert [(a, b, round(s, 6)) for a, b, s in toxic.segments_of(words, scores)] == [(a, b, round(s, 6)) for a, b, s in want]
+
+
+def test_more_segments_are_more_evidence():
+    m = toxic.Model({}, 1.0, 1e-3)
+    one, two, five = (toxic.evidence(m, 1000, [6.0] * n) for n in (1, 2, 5))
+    assert 0 < one < two < five <= 60
+    assert toxic.evidence(m, 1000, []) == 0 and toxic.evidence(m, 10**9, [6.0]) == 0
+    assert toxic.evidence(m, 1000, [6.0, 6.0, 0.1]) == two
+
+
+def test_near_copies_weigh_as_one_text(spark):
+    base = " ".join(f"word{i}" for i in range(300))
+    rows = [(i, base + " end" * (i % 2), 1) for i in range(40)] + [(100 + i, f"another text number {i} of its own {i * i}", i % 2) for i in range(30)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    kept = toxic._sample(both, both.select("doc_id", "toxic"), None, 1000).collect()
+    copies = [r for r in kept if r.text.startswith("word0")]
+    assert len(kept) == 70 and len({r.fold for r in copies}) == 1
+    assert abs(sum(r.weight for r in copies) / toxic.WHOLE - 1) < 1e-3
+
+
 def test_nulls_empty_tables_and_no_labels(spark):
     docs = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "a " * 60000), (3, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
