@@ -7,13 +7,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A word: letters and digits of any script.
+WORD = "([\\pL\\pN]+)"
+
 # Words that carry no content.
 STOP_WORDS = ["and", "are", "but", "for", "from", "has", "have", "not", "that", "the", "this", "was", "were", "will", "with", "you"]
 
 
 def tokens(text: Column, least: int = 3) -> Column:
     """Distinct lower-case words of letters and digits, `least` characters or more; null has none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 1)
     return F.array_distinct(F.filter(found, lambda x: F.length(x) >= least))
 
 
@@ -63,18 +66,31 @@ def atoms(text: Column, most: int = 10, least: int = 15) -> Column:
     return F.slice(F.filter(parts, lambda s: F.length(s) >= least), 1, most)
 
 
+# Marks of queries that ask for all of a kind, and of queries that ask for causes.
+ENUMERATIVE = ["\\bвсе(х|м|е|ё)?\\b", "\\bсписок\\b", "перечисл", "list\\s+all", "\\benumerate\\b"]
+CAUSES = ["почему", "из-за", "привело", "влияет", "цепочк", "поэтому", "следств"]
+
+
 def classify_query(query: Column) -> Column:
-    """enumerative, multi_hop or factual."""
-    q = F.lower(query)
-    enumerative = q.rlike("\\b(all|every|list|which ones|how many)\\b")
-    causal = q.rlike("\\b(why|because|led to|cause[sd]?|after|before)\\b") | (F.size(F.split(F.trim(q), "\\s+")) >= 10)
+    """enumerative (asks for all of a kind), multi_hop (asks for causes, or has ten words or more) or factual; null is factual."""
+    q = F.trim(F.lower(F.coalesce(query, F.lit(""))))
+    enumerative = q.rlike(f"(?U)({'|'.join(ENUMERATIVE)})")
+    causal = q.rlike("|".join(CAUSES)) | (F.size(F.split(q, "\\s+")) >= 10)
     return F.when(enumerative, "enumerative").when(causal, "multi_hop").otherwise("factual")
 
 
+# Words that make a message look worth keeping.
+KEYWORDS = [
+    "решил", "помни", "важно", "изменил", "запомни", "создал", "написал", "починил", "сломал", "понял", "надо", "нужно", "хочу", "буду",
+    "сделал", "архитектура", "дизайн", "план", "решение", "баг", "ошибка", "фикс", "патч", "релиз", "люблю", "ненавижу", "обожаю", "бесит",
+    "important", "critical", "bug", "fix", "release", "decision", "error",
+]
+
+
 def structure_score(text: Column) -> Column:
     """How much a message looks worth keeping, from its shape alone, in 0..1."""
     t = F.coalesce(text, F.lit(""))
-    question, keyword = t.contains("?"), F.lower(t).rlike("important|remember|must|decision|error|release")
+    question, keyword = t.contains("?"), F.lower(t).rlike("|".join(KEYWORDS))
     parts = [(F.length(t) > 100, 0.2), (question, 0.15), (t.contains("!"), 0.1), (keyword, 0.2), (F.size(F.split(t, "\n")) >= 3, 0.15), (question & keyword, 0.1)]
     total = sum((F.when(c, v).otherwise(0.0) for c, v in parts), F.lit(0.0))
     return F.when(F.length(t) < 20, 0.0).otherwise(F.least(F.lit(1.0), total))

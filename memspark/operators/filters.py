@@ -30,11 +30,13 @@ def facet_filter(tags: Column, wanted: Sequence[str]) -> Column:
     return all_of([F.arrays_overlap(tags, F.array(*map(F.lit, group))) for group in by_dimension.values()])
 
 
-def query_memory(df: DataFrame, source: str = "core", *, importance_min: float | None = None, key_like: str = "", content_like: str = "", created_since: int = 0, created_until: int = 0, tags: Sequence[str] = (), limit: int = 50) -> DataFrame:
-    """The filter language: every given condition must hold; newest first, ties by id; 1 to 200 rows."""
+def query_memory(df: DataFrame, source: str = "core", *, importance_min: float | None = None, importance_max: float | None = None, tag: str = "", layer: str = "", user_id: str = "", key_like: str = "", content_like: str = "", created_since: int = 0, created_until: int = 0, tags: Sequence[str] = (), limit: int = 50) -> DataFrame:
+    """The filter language: every given condition must hold; newest first, ties by id; 1 to 200 rows.
+
+    tag is one exact tag, tags are facets (see facet_filter); layer and user_id narrow the scope."""
     if source not in ("core", "episodes"):
         raise ValueError(f"unknown source {source}")
-    if source == "core" and tags:
+    if source == "core" and (tags or tag):
         raise ValueError("facts have no tags")
     if source == "episodes" and key_like:
         raise ValueError("episodes have no key")
@@ -43,6 +45,11 @@ def query_memory(df: DataFrame, source: str = "core", *, importance_min: float |
     conditions = [facet_filter(F.col("tags"), tags)] if tags else []
     if importance_min is not None:
         conditions.append(F.col(weight) >= importance_min)
+    if importance_max is not None:
+        conditions.append(F.col(weight) <= importance_max)
+    if tag:
+        conditions.append(F.array_contains("tags", tag))
+    conditions += [F.col(k) == v for k, v in (("layer", layer), ("user_id", user_id)) if v]
     if key_like:
         conditions.append(F.contains(F.lower("key"), F.lit(key_like.lower())))
     if content_like:
@@ -83,7 +90,7 @@ def mark_expired(value: Column, expires_at: Column, now: int) -> Column:
 
 def verified(hits: DataFrame, query: str, content: str = "content") -> DataFrame:
     """Hits that share a content word with the query; a query without any keeps all."""
-    words = [w for w in dict.fromkeys("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()) if len(w) >= 3 and w not in tx.STOP_WORDS]
+    words = [w for w in dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()) if len(w) >= 3 and w not in tx.STOP_WORDS]
     return hits.where(F.arrays_overlap(tx.content_tokens(F.col(content)), F.array(*map(F.lit, words)))) if words else hits
 
 

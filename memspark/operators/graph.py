@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring as sc
 from ..functions import text as tx
 from . import aggregates as ag
 from . import joins as jn
@@ -127,9 +130,14 @@ def dream_nrem(edges: DataFrame, now: int) -> DataFrame:
 
 
 def inhibited_edges(edges: DataFrame, beta: float = 0.15, most: int = 7) -> DataFrame:
-    """Each edge takes the lesser of its weights after inhibition among the edges of either end, all at once."""
-    ends = edges.select("*", F.explode(F.array("source_id", "target_id")).alias("_end"))
-    w = ends.withColumn("_w", sc.inhibited(F.col("weight"), Window.partitionBy("_end"), beta, most))
+    """Each edge takes the lesser of its weights after inhibition among the edges of either end, all at once.
+
+    Only the `most` heaviest edges of a node inhibit others, so that many weights are kept for it, however many edges it has."""
+    ends = edges.select("source_id", "target_id", "relation", F.col("weight").cast("double").alias("weight"), F.explode(F.array("source_id", "target_id")).alias("_end"))
+    first = ends.select("_end", "weight").withColumn("_k", F.row_number().over(Window.partitionBy("_end").orderBy(F.desc("weight")))).where(F.col("_k") <= most)
+    strong = first.groupBy("_end").agg(F.sort_array(F.collect_list("weight"), asc=False).alias("_strong"))
+    less = F.aggregate(F.filter("_strong", lambda v: v > F.col("weight")), F.lit(0.0), lambda a, v: a + (v - F.col("weight")))
+    w = ends.join(strong, "_end").withColumn("_w", F.greatest(F.lit(0.0), F.col("weight") - beta * less))
     return w.groupBy("source_id", "target_id", "relation").agg(F.min("_w").alias("weight"))
 
 
@@ -145,32 +153,71 @@ def valence(edges: DataFrame) -> DataFrame:
     return edges.groupBy("target_id").agg(F.min(rank).alias("_r")).select("target_id", F.element_at(names, F.col("_r") + 1).alias("valence"))
 
 
-def bridges_by_likeness(bits: DataFrame, threshold: float = 0.7, bands: int = 8, width: int = 64) -> DataFrame:
-    """Pairs (a, b, jaccard) of vectors whose sign bits are alike, among those that share a band of bits."""
-    size = width // bands
-    cut = bits.select("vec_id", "bits", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    cut = cut.withColumn("part", F.expr(f"shiftrightunsigned(bits, cast(band * {size} as int)) & {(1 << size) - 1}"))
-    a, b = cut.select("band", "part", F.col("vec_id").alias("a"), F.col("bits").alias("ba")), cut.select("band", "part", F.col("vec_id").alias("b"), F.col("bits").alias("bb"))
-    pairs = a.join(b, ["band", "part"]).where("a < b").select("a", "b", sc.bit_jaccard(F.col("ba"), F.col("bb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return pairs.distinct()
-
-
-def capped(edges: DataFrame, most: int) -> DataFrame:
-    """Greedy degree cap: edges by weight (then ends) are kept while both ends have fewer than `most`.
-
-    Order decides, so each layer is one pass. Only edges that rank within some bound of both ends can ever be kept or
-    matter; the window below keeps those that are among the first of an end, which bounds what the pass reads by nodes."""
-    import pandas as pd
-
-    def greedy(p: pd.DataFrame) -> pd.DataFrame:
-        used: dict[str, int] = {}
-        keep = []
-        for i, a, b in zip(p.index, p["source_id"], p["target_id"]):
-            if used.get(a, 0) < most and used.get(b, 0) < most:
-                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-                keep.append(i)
-        return p.loc[keep]
-
-    cols = "layer string, source_id string, target_id string, weight double"
-    ordered = edges.select("layer", "source_id", "target_id", F.col("weight").cast("double").alias("weight"))
-    return ordered.groupBy("layer").applyInPandas(lambda p: greedy(p.sort_values(["weight", "source_id", "target_id"], ascending=[False, True, True])), cols)
+def bridges_by_likeness(bits: DataFrame, threshold: float = 0.7, block: int = 4096) -> DataFrame:
+    """All pairs a < b of vectors (vec_id, bits) whose sign bits have a Jaccard likeness of at least threshold.
+
+    Equal bit patterns are one class. Any two classes may be alike at such thresholds, so classes are compared in
+    pairs of blocks, each a bounded group; blocks whose counts of bits are too far apart are left out."""
+    classes = bits.where("bits <> 0").select("bits").distinct().withColumn("ones", F.bit_count("bits"))
+    n = classes.count()
+    parts = max(1, math.ceil(n / block / 4))
+    cells = classes.withColumn("cell", F.col("ones") * parts + F.pmod(F.xxhash64("bits"), F.lit(parts)))
+    # Bit counts x <= y can only be alike if x >= threshold y.
+    wide = F.sequence(F.lit(1), F.lit(64))
+    fits = F.filter(wide, lambda o: F.least(o, "ones") >= threshold * F.greatest(o, "ones"))
+    others = F.flatten(F.transform(fits, lambda o: F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: o * parts + p)))
+    dealt = cells.select("bits", "cell", F.explode(others).alias("o")).select("bits", "cell", F.least("cell", "o").alias("x"), F.greatest("cell", "o").alias("y"))
+
+    def alike(p: pd.DataFrame) -> pd.DataFrame:
+        x, y = p["x"].iloc[0], p["y"].iloc[0]
+        v = p["bits"].to_numpy().view(np.uint64)
+        left, right = v[p["cell"] == x], v[p["cell"] == y]
+        out = []
+        for i in range(0, len(left), 256):
+            part = left[i : i + 256, None]
+            both, either = np.bitwise_count(part & right).astype(float), np.bitwise_count(part | right)
+            a, b = np.nonzero((both / either >= threshold) & (part != right))
+            out.append(pd.DataFrame({"pa": left[i + a].view(np.int64), "pb": right[b].view(np.int64), "jaccard": (both / either)[a, b]}))
+        return pd.concat(out) if out else pd.DataFrame({"pa": [], "pb": [], "jaccard": []})
+
+    met = dealt.groupBy("x", "y").applyInPandas(alike, "pa long, pb long, jaccard double")
+    met = met.select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"), "jaccard").distinct()
+    same = bits.where("bits <> 0").select(F.col("vec_id"), "bits")
+    of = lambda k: same.select(F.col("bits").alias(f"p{k}"), F.col("vec_id").alias(k))
+    other = met.join(of("a"), "pa").join(of("b"), "pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    twins = of("a").join(of("b"), F.col("pa") == F.col("pb")).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    return twins.unionByName(other)
+
+
+def capped(edges: DataFrame, most: int, rounds: int = 100) -> DataFrame:
+    """Greedy degree cap: edges (layer, source_id, target_id, weight) by weight, then ends, are kept while both ends have fewer than `most`.
+
+    In each round the undecided edges that come first at both of their ends, among as many as those still have room
+    for, are kept: whatever comes before them is decided. Edges of full nodes go. That is what the pass one by one
+    gives, in joins and windows by node. Raises if it takes too many rounds."""
+    spark = edges.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
+    key = ["layer", "source_id", "target_id"]
+    left = cut(edges.select(*key, F.col("weight").cast("double").alias("weight")).dropDuplicates(key))
+    kept = None
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        ends = left.select("*", F.explode(F.array("source_id", "target_id")).alias("_end"))
+        if kept is not None:
+            used = kept.select("layer", F.explode(F.array("source_id", "target_id")).alias("_end")).groupBy("layer", "_end").agg(F.count("*").alias("_used"))
+            ends = ends.join(used, ["layer", "_end"], "left")
+        else:
+            ends = ends.withColumn("_used", F.lit(0))
+        w = Window.partitionBy("layer", "_end").orderBy(F.desc("weight"), "source_id", "target_id")
+        ends = ends.withColumn("_room", most - F.coalesce("_used", F.lit(0))).withColumn("_k", F.row_number().over(w))
+        state = cut(ends.groupBy(*key, "weight").agg(F.bool_and(F.col("_k") <= F.col("_room")).alias("_in"), F.bool_or(F.col("_room") <= 0).alias("_out")))
+        new = state.where("_in and not _out").select(*key, "weight")
+        kept = cut(new if kept is None else kept.unionByName(new))
+        left = cut(state.where("not _in and not _out").select(*key, "weight"))
+    else:
+        raise RuntimeError("too many rounds")
+    return kept if kept is not None else left

@@ -27,15 +27,15 @@ def as_of(probes: DataFrame, versions: DataFrame, keys: list[str], probe_at: str
     return left.unionByName(right, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_at", "_side", "_v")
 
 
-def in_interval(events: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, bucket: int = 86_400) -> DataFrame:
+def in_interval(events: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, ident: str = "log_id", bucket: int = 86_400) -> DataFrame:
     """events joined with the span of their keys that holds them, the one that starts last if several do.
 
-    Both sides are cut into time buckets, so this is an equal-key join with a filter."""
+    ident names each event. Both sides are cut into time buckets, so this is an equal-key join with a filter."""
     s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
-    e = events.withColumn("_b", F.floor(F.col(at) / bucket)).withColumn("_id", F.monotonically_increasing_id())
+    e = events.withColumn("_b", F.floor(F.col(at) / bucket))
     met = e.join(s, [*keys, "_b"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
-    last = met.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc(start))))
-    return last.where("_n = 1").drop("_n", "_b", "_id")
+    row = F.struct(*[c for c in met.columns if c not in ("_b", ident)])
+    return met.groupBy(ident).agg(F.max_by(row, F.struct(start, end)).alias("_r")).select(ident, "_r.*")
 
 
 def both_ways(edges: DataFrame, *carry: str) -> DataFrame:

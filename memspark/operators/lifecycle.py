@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +43,9 @@ def purge_since(df: DataFrame, cutoff: int) -> DataFrame:
 def restore(current: DataFrame, snapshot: DataFrame, keys: list[str] | None = None) -> dict[str, DataFrame]:
     """What going back to a snapshot takes: rows to write (new or changed there) and keys to delete."""
     keys = keys or SCOPE
-    write = snapshot.join(current.select(*keys, "value"), [*keys, "value"], "left_anti")
+    now = current.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("value").alias("_value"))
+    same = reduce(and_, [F.col(k) == F.col(f"_{k}") for k in keys]) & F.col("value").eqNullSafe(F.col("_value"))
+    write = snapshot.join(now, same, "left_anti")
     return {"write": write, "delete": current.join(snapshot, keys, "left_anti").select(*keys)}
 
 
@@ -90,7 +95,8 @@ def tiers(journal: DataFrame, now: int, warm: int = 30, cold: int = 180) -> Data
 
 def dedup_episodes(episodes: DataFrame) -> DataFrame:
     """Of equal summaries of a user the episode with the smallest id."""
-    return wn.latest(episodes, ["user_id", "summary"], F.asc("episode_id"))
+    hashed = episodes.withColumn("_h", F.sha2("summary", 256))
+    return wn.latest(hashed, ["user_id", "_h"], F.asc("episode_id")).drop("_h")
 
 
 def never_recalled(facts: DataFrame, recalled: DataFrame, now: int, days: int = 90) -> DataFrame:

@@ -14,17 +14,21 @@ from . import joins as jn
 CAUSAL = ["caused", "led_to", "prevented"]
 
 
-def led_to(nodes: DataFrame, marker: str, rare: int, shortest: int = 300, longest: int = 30 * 86_400) -> DataFrame:
+def led_to(nodes: DataFrame, marker: str, rare: int | None = None, shortest: int = 300, longest: int = 30 * 86_400) -> DataFrame:
     """nodes (node_id, content, created_at): edges from a node to a later one that marks an outcome of the same topic.
 
-    Both share a word on at most `rare` nodes, lie between shortest and longest seconds apart, and the later
-    one's text matches the marker. Only marked nodes are joined from the right, so plain pairs are never made."""
+    Both share a word (on at most `rare` nodes, if given), lie between shortest and longest seconds apart, and the
+    later one's text matches the marker. Only marked nodes are joined from the right, within spans of time, so a
+    word that many nodes have meets in parts."""
     words = nodes.select("node_id", "created_at", F.coalesce(F.col("content").rlike(marker), F.lit(False)).alias("marked"), F.explode(tx.tokens(F.col("content"), 4)).alias("token"))
-    few = words.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n").between(2, rare)).select("token")
-    kept = words.join(few, "token", "left_semi")
-    late = kept.where("marked").select("token", F.col("node_id").alias("target_id"), F.col("created_at").alias("_late"))
-    early = kept.select("token", F.col("node_id").alias("source_id"), F.col("created_at").alias("_early"))
-    near = early.join(late, "token").where((F.col("_late") - F.col("_early")).between(shortest, longest))
+    kept = words
+    if rare is not None:
+        few = words.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n").between(2, rare)).select("token")
+        kept = words.join(few, "token", "left_semi")
+    span = F.floor(F.col("created_at") / longest)
+    late = kept.where("marked").select("token", F.col("node_id").alias("target_id"), F.col("created_at").alias("_late"), F.explode(F.array(span, span - 1)).alias("_span"))
+    early = kept.select("token", F.col("node_id").alias("source_id"), F.col("created_at").alias("_early"), span.alias("_span"))
+    near = early.join(late, ["token", "_span"]).where((F.col("_late") - F.col("_early")).between(shortest, longest))
     return near.select("source_id", "target_id").distinct().select("source_id", "target_id", F.lit("led_to").alias("relation"), F.lit(0.3).alias("weight"))
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,22 +16,40 @@ from ..functions import text as tx
 from . import windows as wn
 
 K1, B = 1.2, 0.75
+#: Query terms that are looked for in each text at most, and queries and vectors of a block.
+MOST_TERMS, QUERY_BLOCK, VECTOR_BLOCK = 1000, 512, 4096
 
 
 def terms(df: DataFrame, ident: str, *texts: str) -> DataFrame:
     """One row per word occurrence: ident, term."""
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit("([a-z0-9]+)"), 1)
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(tx.WORD), 1)
     return df.select(ident, F.explode(words).alias("term"))
 
 
 def postings(df: DataFrame, ident: str, *texts: str) -> tuple[DataFrame, DataFrame]:
     """(term, ident, tf, dl) and one row (n, avgdl). Store both to serve many queries."""
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit("([a-z0-9]+)"), 1)
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(tx.WORD), 1)
     sized = df.select(ident, words.alias("_w")).select(ident, "_w", F.size("_w").alias("dl"))
     counts = sized.select(ident, "dl", F.explode("_w").alias("term")).groupBy("term", ident).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     return counts, sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def asked_postings(df: DataFrame, ident: str, queries: DataFrame, *texts: str) -> tuple[DataFrame, DataFrame]:
+    """postings() of the queries' terms alone, without an index: each text is read once and its hits are counted in place.
+
+    The terms of all queries go to every task as one array, so this is for query sets of at most MOST_TERMS terms;
+    more terms go by way of postings(). Only (ident, length, hits) are kept between the two results."""
+    found = queries.select(F.explode(tx.tokens(F.col("query"), 1)).alias("term")).distinct()
+    if found.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        return postings(df, ident, *texts)
+    wanted = found.agg(F.collect_set("term").alias("_asked"))
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(tx.WORD), 1)
+    sized = df.select(ident, words.alias("_w")).crossJoin(F.broadcast(wanted))
+    narrow = sized.select(ident, F.size("_w").alias("dl"), F.filter("_w", lambda x: F.array_contains("_asked", x)).alias("_h")).persist()
+    counts = narrow.select(ident, "dl", "_h", F.explode(F.array_distinct("_h")).alias("term")).select("term", ident, F.size(F.filter("_h", lambda x: x == F.col("term"))).cast("long").alias("tf"), "dl")
+    return counts, narrow.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
 def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, ident: str) -> DataFrame:
     """query_id, ident, score: Okapi BM25, higher is better. Only the postings of query terms are read on."""
     asked = queries.select("query_id", F.explode(tx.tokens(F.col("query"), 1)).alias("term"))
@@ -72,11 +91,53 @@ def recall(sources: list[DataFrame], now: int, limit: int = 10) -> DataFrame:
     return wn.merge_ranked(pool, now, ["query_id"], limit)
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, scores, limit: int, shape: str) -> DataFrame:
+    """The best `limit` vectors of each query, in blocks: vectors and queries (id, v) meet block by block, each pair of
+    blocks gives its best alone, and those are ranked. scores(vectors, queries) gives a matrix of whole numbers or
+    floats, higher is better; ties go to the smaller id. Nothing is broadcast, and no block outgrows a task.
+
+    shape: type of the score. Returns query_id, vec_id and score."""
+    nq, nv = (max(1, math.ceil(df.count() / size)) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    part = lambda df, n, mine, other, m: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left, right = part(vectors, nv, "_v", "_q", nq), part(queries, nq, "_q", "_v", nv)
+
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        v = v.sort_values("id")
+        found = scores(v, q)
+        order = np.argsort(-found, axis=0, kind="stable")[:limit]
+        ids = v["id"].to_numpy()
+        return pd.DataFrame({"query_id": np.tile(q["id"].to_numpy(), len(order)), "vec_id": ids[order].ravel(), "score": np.take_along_axis(found, order, 0).ravel()})
+
+    keys = ["_v", "_q"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id long, vec_id long, score {shape}")
+    return wn.newest(met, ["query_id"], limit, F.desc("score"), F.asc("vec_id"))
+
+
+def cosine_search(vectors: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
+    """vectors (vec_id, embedding), queries (query_id, embedding): the nearest by cosine, themselves left out; scores of 6 digits."""
+
+    def scores(v: pd.DataFrame, q: pd.DataFrame) -> np.ndarray:
+        x, y = (np.vstack(p["v"].to_numpy()).astype(np.float64) for p in (v, q))
+        size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))
+        s = np.round(np.divide(x @ y.T, size, out=np.zeros(size.shape), where=size > 0), 6)
+        s[v["id"].to_numpy()[:, None] == q["id"].to_numpy()] = -np.inf
+        return s
+
+    found = nearest(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), queries.select(F.col("query_id").alias("id"), F.col("embedding").alias("v")), scores, limit, "double")
+    return found.where(F.col("score") >= -1.5)
+
+
 def binary_search(vectors: DataFrame, query_bits: DataFrame, limit: int = 10, width: int = 64) -> DataFrame:
-    """vectors (vec_id, bits), query_bits (query_id, qbits), few rows: the nearest by Hamming distance, score 1 - d/width."""
-    near = vectors.join(F.broadcast(query_bits)).withColumn("distance", sc.hamming(F.col("bits"), F.col("qbits")))
-    best = wn.newest(near, ["query_id"], limit, F.asc("distance"), F.asc("vec_id"))
-    return best.select("query_id", "vec_id", "distance", (1 - F.col("distance") / width).alias("score"))
+    """vectors (vec_id, bits), query_bits (query_id, qbits): the nearest by Hamming distance, score 1 - d/width."""
+
+    def scores(v: pd.DataFrame, q: pd.DataFrame) -> np.ndarray:
+        x, y = (p["v"].to_numpy(np.int64).view(np.uint64) for p in (v, q))
+        return -np.bitwise_count(x[:, None] ^ y).astype(np.int64)
+
+    best = nearest(vectors.select(F.col("vec_id").alias("id"), F.col("bits").alias("v")), query_bits.select(F.col("query_id").alias("id"), F.col("qbits").alias("v")), scores, limit, "long")
+    return best.select("query_id", "vec_id", (-F.col("score")).alias("distance"), (1 + F.col("score") / width).alias("score"))
 
 
 def bits_of(vectors: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +46,21 @@ def reciprocal_ranks(branches: dict[str, DataFrame], keys: list[str], ident: str
 def fading_threshold(scores: DataFrame, keys: list[str], order: list[str], score: str, start: float = 0.4, rate: float = 0.1) -> DataFrame:
     """A threshold that follows the scores, T' = (1 - rate) T + rate clamp(s, 0.1, 0.6), and whether each score passes T.
 
-    The fold has a closed form: sum of rate (1 - rate)^(n - i) s_i, kept stable by working with powers of the row number."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = scores.withColumn("_n", F.row_number().over(w)).withColumn("_s", F.least(F.greatest(F.col(score), F.lit(0.1)), F.lit(0.6)))
+    The fold has a closed form, sum of rate (1 - rate)^(n - i) s_i, whose powers stay small within blocks of rows. A
+    block is so long that of what came before it only the block before leaves a trace in double precision."""
     q = 1 - rate
-    grown = F.sum(F.col("_s") * F.pow(F.lit(q), -F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.pow(F.lit(q), F.col("_n") - 1) * (start + rate * q * F.coalesce(grown, F.lit(0.0)) / q)
-    return n.withColumn("threshold", before).withColumn("passes", F.col(score) >= F.col("threshold")).drop("_n", "_s")
+    size = math.ceil(60 / -math.log(q))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    n = scores.withColumn("_n", F.row_number().over(w) - 1).withColumn("_s", F.least(F.greatest(F.col(score), F.lit(0.1)), F.lit(0.6)))
+    n = n.withColumn("_b", F.floor(F.col("_n") / size)).withColumn("_k", F.col("_n") % size)
+    inside = Window.partitionBy(*keys, "_b")
+    sofar = F.sum(F.col("_s") * F.pow(F.lit(q), -F.col("_k") - 1)).over(inside.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.withColumn("_in", rate * F.pow(F.lit(q), F.col("_k")) * F.coalesce(sofar, F.lit(0.0)))
+    n = n.withColumn("_all", rate * F.sum(F.col("_s") * F.pow(F.lit(q), size - 1 - F.col("_k"))).over(inside))
+    last = F.first("_all").over(Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1))
+    opened = F.when(F.col("_b") == 0, F.lit(start)).when(F.col("_b") == 1, last + start * q**size).otherwise(last)
+    out = n.withColumn("threshold", F.col("_in") + F.pow(F.lit(q), F.col("_k")) * opened)
+    return out.withColumn("passes", F.col(score) >= F.col("threshold")).drop("_n", "_s", "_b", "_k", "_in", "_all")
 
 
 def chain_breaks(journal: DataFrame, keys: list[str], order: str, prev: str, own: str, recomputed: Column) -> DataFrame:

@@ -47,10 +47,10 @@ def asked(spark: SparkSession) -> DataFrame:
 
 _ASKED = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ASKED) + ") t(query_id, query))"
 _BM25 = """
-docs_w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+docs_w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS w FROM documents),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs_w),
 post AS (SELECT doc_id, any_value(len(w)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM docs_w) GROUP BY doc_id, term),
-qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM asked),
+qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\pL\\pN]+')) AS term FROM asked),
 hit AS (SELECT qt.query_id, post.* FROM post JOIN qt ON post.term = qt.term),
 dfs AS (SELECT query_id, term, count(*) AS df FROM hit GROUP BY ALL),
 bm AS (SELECT h.query_id, doc_id, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) AS score
@@ -58,7 +58,7 @@ bm AS (SELECT h.query_id, doc_id, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5:
 
 
 def _bm25(spark, d):
-    index, stats = rt.postings(ad.table(spark, d, "documents"), "doc_id", "text")
+    index, stats = rt.asked_postings(ad.table(spark, d, "documents"), "doc_id", asked(spark), "text")
     return rt.bm25(index, stats, asked(spark), "doc_id")
 
 
@@ -73,7 +73,7 @@ b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY
 u AS (SELECT *, 'bm25' AS f FROM a UNION ALL SELECT *, 'count' FROM b)
 SELECT query_id, doc_id, round(sum(1.0::double / (61 + r)), 6) AS score, string_agg(f, '+' ORDER BY f) AS found_by FROM u GROUP BY query_id, doc_id""")
 def reciprocal_rank_fusion(spark, d):
-    index, stats = rt.postings(ad.table(spark, d, "documents"), "doc_id", "text")
+    index, stats = rt.asked_postings(ad.table(spark, d, "documents"), "doc_id", asked(spark), "text")
     best = rt.bm25(index, stats, asked(spark), "doc_id").withColumn("score", F.round("score", 6))
     terms = asked(spark).select("query_id", F.explode(tx.tokens(F.col("query"), 1)).alias("term"))
     count = index.join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.sum("tf").alias("score"))
@@ -132,7 +132,7 @@ def archive_candidates(spark, d):
 
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
-_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: length(x) >= 3))"
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[\\pL\\pN]+'), lambda x: length(x) >= 3))"
 
 
 @query("verified_hits", f"SELECT doc_id FROM documents WHERE len(list_intersect(list_filter({_TOKENS.format(c='text')}, lambda x: NOT list_contains([{_STOP}], x)), ['andtion', 'thstre', 'ander'])) > 0")
@@ -158,13 +158,13 @@ def token_sets(spark, d):
 
 @query("text_measures", """WITH p AS (SELECT id, text, list_filter(string_split_regex(text, '[.!?]+'), lambda s: trim(s) <> '') AS parts FROM journal)
 SELECT id, (length(text) // 4)::bigint AS est_tokens, substr(array_to_string(list_transform(parts[1:2], lambda s: trim(s)), '. '), 1, 400) AS preview, contains(text, '?') AS question,
-CASE WHEN regexp_matches(lower(text), '\\b(all|every|list|which ones|how many)\\b') THEN 'enumerative' WHEN regexp_matches(lower(text), '\\b(why|because|led to|cause[sd]?|after|before)\\b') OR len(string_split_regex(trim(text, ' \n\t'), '\\s+')) >= 10 THEN 'multi_hop' ELSE 'factual' END AS query_class FROM p""".replace("WITH p", "WITH " + ad.SQL["journal"] + ", p"))
+CASE WHEN regexp_matches(lower(text), '(^|[^\\pL\\pN_])(все(х|м|е|ё)?|список|enumerate)($|[^\\pL\\pN_])|перечисл|list\\s+all') THEN 'enumerative' WHEN regexp_matches(lower(text), 'почему|из-за|привело|влияет|цепочк|поэтому|следств') OR len(string_split_regex(trim(text, ' \n\t'), '\\s+')) >= 10 THEN 'multi_hop' ELSE 'factual' END AS query_class FROM p""".replace("WITH p", "WITH " + ad.SQL["journal"] + ", p"))
 def text_measures(spark, d):
     t = F.col("text")
     return ad.journal(spark, d).select("id", tx.estimate_tokens(t).alias("est_tokens"), tx.preview(t).alias("preview"), t.contains("?").alias("question"), tx.classify_query(t).alias("query_class"))
 
 
-@query("structure_scores", with_sql(""", s AS (SELECT id, text AS t, contains(text, '?') AS q, regexp_matches(lower(text), 'important|remember|must|decision|error|release') AS k FROM journal)
+@query("structure_scores", with_sql(f""", s AS (SELECT id, text AS t, contains(text, '?') AS q, regexp_matches(lower(text), '{"|".join(tx.KEYWORDS)}') AS k FROM journal)
 SELECT id, round(CASE WHEN length(t) < 20 THEN 0 ELSE least(1, CASE WHEN length(t) > 100 THEN 0.2 ELSE 0 END + CASE WHEN q THEN 0.15 ELSE 0 END + CASE WHEN contains(t, '!') THEN 0.1 ELSE 0 END + CASE WHEN k THEN 0.2 ELSE 0 END + CASE WHEN len(string_split(t, chr(10))) >= 3 THEN 0.15 ELSE 0 END + CASE WHEN q AND k THEN 0.1 ELSE 0 END) END::double, 6) AS score FROM s""", "journal"))
 def structure_scores(spark, d):
     return ad.journal(spark, d).select("id", F.round(tx.structure_score(F.col("text")), 6).alias("score"))
@@ -173,7 +173,8 @@ def structure_scores(spark, d):
 @query("privacy_counts", f"""WITH a AS (SELECT doc_id, text, regexp_replace(text, '{pv.EMAIL}', ' ', 'g') AS b FROM documents), c AS (SELECT *, regexp_replace(b, '{pv.IP}', ' ', 'g') AS r FROM a)
 SELECT doc_id, len(regexp_extract_all(text, '{pv.EMAIL}'))::int AS emails, len(regexp_extract_all(b, '{pv.IP}'))::int AS ips, len(regexp_extract_all(r, '{pv.PHONE}'))::int AS phones FROM c""")
 def privacy_counts(spark, d):
-    return ad.table(spark, d, "documents").select("doc_id", *[c.cast("int").alias(k) for k, c in pv.personal_counts(F.col("text")).items()])
+    counts = pv.personal_counts(ad.table(spark, d, "documents"), "text", "doc_id")
+    return counts.select("doc_id", *[F.col(k).cast("int").alias(k) for k in ("emails", "ips", "phones")])
 
 
 def _sql_redact() -> str:
@@ -290,13 +291,16 @@ def duplicate_journal(spark, d):
     return ad.journal(spark, d).groupBy(h.alias("content_hash")).agg(F.min("id").alias("id")).select("id", "content_hash")
 
 
-@query("stride_sample", "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE lang = 'de') SELECT doc_id FROM n WHERE i % 10 = 0")
+@query("stride_sample", "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT doc_id FROM n WHERE i % 10 = 0")
 def stride_sample(spark, d):
-    """Every tenth row in order, without one task for all: numbers within ranges of ids plus the ranges' offsets."""
-    docs = ad.table(spark, d, "documents").where("lang = 'de'").select("doc_id", F.floor(F.col("doc_id") / 1000).alias("r"))
-    sizes = docs.groupBy("r").agg(F.count("*").alias("n"))
+    """Every tenth row in order, without one task for all: rows are dealt to ranges of ids of even size by a sketch's
+    quantiles, and numbers within a range follow those of the ranges before it."""
+    docs = ad.table(spark, d, "documents").select("doc_id")
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / 200 for k in range(1, 200)], 10_000)).first()[0] or []
+    ranged = docs.withColumn("r", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0))
+    sizes = ranged.groupBy("r").agg(F.count("*").alias("n"))
     before = sizes.withColumn("off", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = docs.withColumn("i", F.row_number().over(Window.partitionBy("r").orderBy("doc_id")) - 1).join(F.broadcast(before), "r")
+    n = ranged.withColumn("i", F.row_number().over(Window.partitionBy("r").orderBy("doc_id")) - 1).join(F.broadcast(before), "r")
     return n.where((F.col("i") + F.col("off")) % 10 == 0).select("doc_id")
 
 
@@ -332,15 +336,15 @@ def mad_threshold(spark, d):
     return ag.mad_threshold(ad.edges(spark, d), "weight").select(*[F.round(c, 6).alias(c) for c in ("median", "mad", "tau")])
 
 
-@query("distinguishing_words", """WITH t AS (SELECT DISTINCT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), s AS (SELECT *  FROM t WHERE length(token) >= 3),
+@query("distinguishing_words", """WITH t AS (SELECT DISTINCT lang, doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS token FROM documents), s AS (SELECT *  FROM t WHERE length(token) >= 3),
 nc AS (SELECT lang, count(DISTINCT doc_id) AS nc FROM s GROUP BY lang), n AS (SELECT count(DISTINCT doc_id) AS n FROM s), df AS (SELECT token, count(DISTINCT doc_id) AS df FROM s GROUP BY token), tf AS (SELECT lang, token, count(DISTINCT doc_id) AS tf FROM s GROUP BY lang, token)
 SELECT tf.lang, tf.token, tf, round((tf / nc) / (df / n), 6) AS ratio, row_number() OVER (PARTITION BY tf.lang ORDER BY (tf / nc) / (df / n) DESC, tf DESC, tf.token) AS place FROM tf JOIN nc ON tf.lang = nc.lang JOIN df ON df.token = tf.token, n WHERE tf >= 0.1::double * nc QUALIFY place <= 3""")
 def distinguishing_words(spark, d):
-    t = ad.table(spark, d, "documents").select("lang", "doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
-    return ag.distinguishing(t, "lang", "doc_id", "token").select("lang", "token", "tf", F.round("ratio", 6).alias("ratio"), F.col("place").cast("long").alias("place"))
+    t = ad.table(spark, d, "documents").select("lang", tx.tokens(F.col("text")).alias("tokens"))
+    return ag.distinguishing(t, "lang", "tokens").select("lang", "token", "tf", F.round("ratio", 6).alias("ratio"), F.col("place").cast("long").alias("place"))
 
 
-@query("top_words", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) WHERE length(word) >= 4 GROUP BY word ORDER BY n DESC, word LIMIT 10")
+@query("top_words", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS word FROM documents) WHERE length(word) >= 4 GROUP BY word ORDER BY n DESC, word LIMIT 10")
 def top_words(spark, d):
     return ag.top_words(ad.table(spark, d, "documents"))
 
@@ -384,9 +388,7 @@ def bit_weights(spark, d):
 @query("cosine_search", "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id) SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) <= 5")
 def cosine_search(spark, d):
     v = ad.vectors(spark, d).select("vec_id", "embedding")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(sc.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return wn.newest(s, ["query_id"], 5, F.desc("score"), F.asc("vec_id"))
+    return rt.cosine_search(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"))
 
 
 @query("int8_vectors", "WITH m AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::double))) AS t FROM embeddings) SELECT vec_id, round(t, 6) AS scale, list_sum(list_transform(embedding, lambda x: round(x::double / t * 127)))::bigint AS total FROM m")
@@ -395,8 +397,7 @@ def int8_vectors(spark, d):
     return ad.vectors(spark, d).select("vec_id", F.round(scale, 6).alias("scale"), F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("alike_bits", f"""WITH {_BITS}, s AS (SELECT v.vec_id AS a, q.vec_id AS b, list_sum(list_transform(list_zip(v.b, q.b), lambda z: z[1] * z[2])) AS both_n, list_sum(list_transform(list_zip(v.b, q.b), lambda z: greatest(z[1], z[2]))) AS any_n,
-len(list_filter(range(0, 8), lambda i: v.b[i * 8 + 1:i * 8 + 8] = q.b[i * 8 + 1:i * 8 + 8])) AS bands FROM bits v JOIN bits q ON v.vec_id < q.vec_id) SELECT a, b, round(both_n / any_n, 6) AS jaccard FROM s WHERE bands > 0 AND both_n / any_n >= 0.55""")
+@query("alike_bits", f"""WITH {_BITS}, s AS (SELECT v.vec_id AS a, q.vec_id AS b, list_sum(list_transform(list_zip(v.b, q.b), lambda z: z[1] * z[2])) AS both_n, list_sum(list_transform(list_zip(v.b, q.b), lambda z: greatest(z[1], z[2]))) AS any_n FROM bits v JOIN bits q ON v.vec_id < q.vec_id) SELECT a, b, round(both_n / any_n, 6) AS jaccard FROM s WHERE both_n / any_n >= 0.55""")
 def alike_bits(spark, d):
     return gr.bridges_by_likeness(rt.bits_of(ad.vectors(spark, d)), 0.55).withColumn("jaccard", F.round("jaccard", 6))
 
@@ -404,9 +405,9 @@ def alike_bits(spark, d):
 # -- graph ----------------------------------------------------------------------------------
 
 
-@query("shared_tags", with_sql(", r AS (SELECT tag FROM tags GROUP BY tag HAVING count(*) <= 60), t AS (SELECT * FROM tags SEMI JOIN r ON tags.tag = r.tag) SELECT x.node_id AS a, y.node_id AS b, 'tagged' AS relation, round(least(0.6::double, 0.3::double + 0.1::double * count(*)), 6) AS weight FROM t x JOIN t y ON x.tag = y.tag AND x.node_id < y.node_id GROUP BY ALL", "tags"))
+@query("shared_tags", with_sql(", t AS (SELECT * FROM tags) SELECT x.node_id AS a, y.node_id AS b, 'tagged' AS relation, round(least(0.6::double, 0.3::double + 0.1::double * count(*)), 6) AS weight FROM t x JOIN t y ON x.tag = y.tag AND x.node_id < y.node_id GROUP BY ALL", "tags"))
 def shared_tags(spark, d):
-    return gr.shared_tags(ad.tags(spark, d), 60).withColumn("weight", F.round("weight", 6))
+    return gr.shared_tags(ad.tags(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
 @query("topic_overlap", f"""WITH n AS (SELECT id, list_filter({_TOKENS.format(c='text')}, lambda x: NOT list_contains([{_STOP}], x)) AS t FROM (SELECT conv_id * 1000 + turn AS id, text FROM conversations)),
@@ -426,9 +427,9 @@ def co_retrieved(spark, d):
     return gr.co_retrieved(pairs, ad.nodes(spark, d)).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
-@query("co_cited", with_sql(", x AS (SELECT DISTINCT source_id, target_id FROM edges WHERE weight > 0.19) SELECT a.target_id AS a, b.target_id AS b, round(least(0.6::double, 0.3::double + 0.05::double * (count(*) - 1)), 6) AS weight FROM x a JOIN x b ON a.source_id = b.source_id AND a.target_id < b.target_id GROUP BY ALL", "edges"))
+@query("co_cited", with_sql(", x AS (SELECT DISTINCT source_id, target_id FROM edges) SELECT a.target_id AS a, b.target_id AS b, round(least(0.6::double, 0.3::double + 0.05::double * (count(*) - 1)), 6) AS weight FROM x a JOIN x b ON a.source_id = b.source_id AND a.target_id < b.target_id GROUP BY ALL", "edges"))
 def co_cited(spark, d):
-    return gr.co_cited(ad.edges(spark, d).where("weight > 0.19")).select("a", "b", F.round("weight", 6).alias("weight"))
+    return gr.co_cited(ad.edges(spark, d)).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 @query("belief_gain", with_sql(", c AS (SELECT 's' || s_suppkey::varchar AS node_id, s_acctbal / 10000 AS confidence FROM supplier) SELECT target_id, round(0.1 * max(confidence * weight), 6) AS gain FROM edges JOIN c ON source_id = node_id GROUP BY target_id", "edges"))
@@ -457,12 +458,12 @@ def dangling_edges(spark, d):
     return gr.without_dangling(ad.edges(spark, d), ad.nodes(spark, d).where("node_type <> 'economy'")).select("source_id", "target_id")
 
 
-@query("neighbours", with_sql(""", e AS (SELECT source_id, target_id FROM edges WHERE weight > 0.19), l AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e),
+@query("neighbours", with_sql(""", e AS (SELECT source_id, target_id FROM edges), l AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e),
 one AS (SELECT 's1' AS o, b, 1 AS k FROM l WHERE a = 's1' UNION SELECT 's2', b, 1 FROM l WHERE a = 's2'), two AS (SELECT DISTINCT o, l.b, 2 AS k FROM one JOIN l ON one.b = l.a)
 SELECT o AS origin, b AS node, min(k)::int AS depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE b <> o GROUP BY ALL""", "edges"))
 def neighbours(spark, d):
     start = spark.createDataFrame([("s1",), ("s2",)], "node string")
-    return gr.neighbours(ad.edges(spark, d).where("weight > 0.19"), ad.nodes(spark, d), start, 2)
+    return gr.neighbours(ad.edges(spark, d), ad.nodes(spark, d), start, 2)
 
 
 @query("nrem_edges", with_sql(f", a AS (SELECT source_id, target_id, CASE WHEN ({THEN} - created_at) / 86400 <= 1 THEN weight + 0.05::double WHEN ({THEN} - created_at) / 86400 > 30 THEN weight - 0.01::double ELSE weight END AS weight FROM edges) SELECT source_id, target_id, round(weight, 6) AS weight FROM a WHERE weight >= 0.05", "edges"))
@@ -470,20 +471,19 @@ def nrem_edges(spark, d):
     return gr.dream_nrem(ad.edges(spark, d), THEN).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
 
 
-@query("inhibited_edges", with_sql(""", e AS (SELECT * FROM edges WHERE weight < 1 AND target_id LIKE 'p1%'), s AS (SELECT source_id, target_id, weight, source_id AS n FROM e UNION ALL SELECT source_id, target_id, weight, target_id FROM e),
+@query("inhibited_edges", with_sql(""", e AS (SELECT * FROM edges), s AS (SELECT source_id, target_id, weight, source_id AS n FROM e UNION ALL SELECT source_id, target_id, weight, target_id FROM e),
 l AS (SELECT n, list_sort(list(weight), 'DESC') AS ws FROM s GROUP BY n), i AS (SELECT source_id, target_id, greatest(0, weight - 0.15::double * coalesce(list_sum(list_transform(list_filter(ws, lambda v: v > weight)[1:7], lambda v: v - weight)), 0)) AS w FROM s JOIN l ON s.n = l.n)
 SELECT source_id, target_id, round(min(w), 6) AS weight FROM i GROUP BY ALL""", "edges"))
 def inhibited_edges(spark, d):
-    e = ad.edges(spark, d).where((F.col("weight") < 1) & F.col("target_id").startswith("p1"))
-    return gr.inhibited_edges(e).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
+    return gr.inhibited_edges(ad.edges(spark, d)).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
 
 
-@query("heavier_edges", with_sql(""", o AS (SELECT * FROM edges WHERE weight < 0.3), n AS (SELECT source_id, target_id, relation, weight + CASE WHEN hash_even THEN 0.1::double ELSE 0 END AS weight, created_at + 5 AS created_at FROM (SELECT *, length(target_id) % 2 = 0 AS hash_even FROM edges WHERE weight < 0.25))
+@query("heavier_edges", with_sql(""", o AS (SELECT * FROM edges), n AS (SELECT source_id, target_id, relation, weight + CASE WHEN hash_even THEN 0.1::double ELSE 0 END AS weight, created_at + 5 AS created_at FROM (SELECT *, length(target_id) % 2 = 0 AS hash_even FROM edges))
 SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.target_id, n.target_id) AS target_id, round(CASE WHEN n.weight > o.weight THEN n.weight ELSE o.weight END, 6) AS weight, CASE WHEN n.weight > o.weight THEN n.created_at ELSE o.created_at END AS created_at FROM o LEFT JOIN n ON o.source_id = n.source_id AND o.target_id = n.target_id""", "edges"))
 def heavier_edges(spark, d):
     e = ad.edges(spark, d)
-    new = e.where("weight < 0.25").withColumn("weight", F.col("weight") + F.when(F.length("target_id") % 2 == 0, 0.1).otherwise(0.0)).withColumn("created_at", F.col("created_at") + 5)
-    return gr.keep_heavier(e.where("weight < 0.3"), new).select("source_id", "target_id", F.round("weight", 6).alias("weight"), "created_at")
+    new = e.withColumn("weight", F.col("weight") + F.when(F.length("target_id") % 2 == 0, 0.1).otherwise(0.0)).withColumn("created_at", F.col("created_at") + 5)
+    return gr.keep_heavier(e, new).select("source_id", "target_id", F.round("weight", 6).alias("weight"), "created_at")
 
 
 @query("wiki_link_reach", with_sql(", r AS (SELECT from_path, to_path FROM wiki_links), s AS (SELECT to_path, count(*) AS n FROM r GROUP BY to_path) SELECT to_path, n FROM s WHERE n >= 2", "wiki_links"))

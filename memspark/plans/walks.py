@@ -14,25 +14,24 @@ from ..sources import files as fs
 from ..sources.adapters import NOW, with_sql
 from .queries import query
 
-_WORDS = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: length(x) >= {n}))"
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[\\pL\\pN]+'), lambda x: length(x) >= {n}))"
 MARKER = "hand|that"
 
 
-@query("led_to_edges", with_sql(f""", w AS (SELECT id, ts, regexp_matches(text, '{MARKER}') AS marked, unnest({_WORDS.format(c="text", n=4)}) AS token FROM journal),
-few AS (SELECT token FROM w GROUP BY token HAVING count(*) BETWEEN 2 AND 40), k AS (SELECT w.* FROM w JOIN few USING (token))
+@query("led_to_edges", with_sql(f""", k AS (SELECT id, ts, regexp_matches(text, '{MARKER}') AS marked, unnest({_WORDS.format(c="text", n=4)}) AS token FROM journal)
 SELECT DISTINCT a.id AS source_id, b.id AS target_id, 0.3::double AS weight FROM k a JOIN k b ON a.token = b.token WHERE b.marked AND b.ts - a.ts BETWEEN 300 AND 2592000""", "journal"))
 def led_to_edges(spark: SparkSession, d: str) -> DataFrame:
     j = ad.journal(spark, d).select(F.col("id").alias("node_id"), F.col("text").alias("content"), F.col("ts").alias("created_at"))
-    return mn.led_to(j, MARKER, 40).drop("relation")
+    return mn.led_to(j, MARKER).drop("relation")
 
 
-@query("dream_bridges", with_sql(f""", s AS (SELECT node_id, {_WORDS.format(c="content", n=3)} AS w FROM nodes), e AS (SELECT * FROM edges WHERE weight >= 0.2),
+@query("dream_bridges", with_sql(f""", s AS (SELECT node_id, {_WORDS.format(c="content", n=3)} AS w FROM nodes), e AS (SELECT * FROM edges),
 iso AS (SELECT * FROM s WHERE len(w) > 0 AND node_id NOT IN (SELECT source_id FROM e) AND node_id NOT IN (SELECT target_id FROM e)),
 p AS (SELECT a.node_id AS a, b.node_id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS sim FROM iso a JOIN s b ON a.node_id <> b.node_id AND len(b.w) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM p WHERE sim >= 0.7)
 SELECT DISTINCT least(a, b) AS source_id, greatest(a, b) AS target_id, round(sim * 0.3, 6) AS weight FROM r WHERE n = 1""", "nodes", "edges"))
 def dream_bridges(spark: SparkSession, d: str) -> DataFrame:
-    found = mn.bridges(ad.nodes(spark, d), ad.edges(spark, d).where("weight >= 0.2"))
+    found = mn.bridges(ad.nodes(spark, d), ad.edges(spark, d))
     return found.select("source_id", "target_id", F.round("weight", 6).alias("weight"))
 
 
@@ -168,7 +167,7 @@ def pages_as_markdown(spark: SparkSession, d: str) -> DataFrame:
     return m.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-@query("orphan_anchors", with_sql(" SELECT node_id FROM nodes LEFT JOIN edges ON target_id = node_id AND weight >= 0.2 WHERE node_type = 'promo' AND source_id IS NULL", "nodes", "edges"))
+@query("orphan_anchors", with_sql(" SELECT node_id FROM nodes LEFT JOIN edges ON target_id = node_id WHERE node_type = 'promo' AND source_id IS NULL", "nodes", "edges"))
 def orphan_anchors(spark: SparkSession, d: str) -> DataFrame:
     nodes = ad.nodes(spark, d).withColumn("created_at", F.lit(NOW - 30 * ad.DAY))
-    return mn.old_anchors(nodes, ad.edges(spark, d).where("weight >= 0.2"), NOW, "promo").select("node_id")
+    return mn.old_anchors(nodes, ad.edges(spark, d), NOW, "promo").select("node_id")
