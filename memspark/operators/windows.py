@@ -77,3 +77,9 @@ def rate_limited(events: DataFrame, keys: list[str], at: str = "ts", seconds: in
     """events with how many of their key fell into the last `seconds`, themselves included, and whether that is allowed."""
     w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-seconds + 1, 0)
     return events.withColumn("recent", F.count("*").over(w)).withColumn("allowed", F.col("recent") <= most)
+
+
+def capped_per_period(events: DataFrame, keys: list[str], seconds: int, most: int, at: str = "ts", tie: str = "log_id") -> DataFrame:
+    """events with allowed: the first `most` of their key in each period of `seconds`."""
+    w = Window.partitionBy(*keys, F.floor(F.col(at) / seconds)).orderBy(at, tie)
+    return events.withColumn("allowed", F.row_number().over(w) <= most)

@@ -1,3 +1,3 @@
 """Named queries: importing the package registers them all."""
 
-from . import queries, walks  # noqa: F401
+from . import distil, queries, walks  # noqa: F401
