@@ -72,3 +72,39 @@ def ndcg(relevance: Column, position: Column) -> Column:
 
 def query_window(*keys: str) -> WindowSpec:
     return Window.partitionBy(*keys)
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def floored(score: Column, over: WindowSpec) -> Column:
+    """max(0, score) as a share of the window's best; 0 where none is over 0."""
+    top = F.max(score).over(over)
+    return F.when(top > 0, F.greatest(F.lit(0.0), score) / top).otherwise(0.0)
+
+
+def binary_words(vector: Column, thresholds: Column) -> Column:
+    """Bits (component over its threshold) of a vector of any length as longs of 64, first component highest; the last is filled with zeros."""
+    bits = F.zip_with(vector, thresholds, lambda x, t: F.when(x.cast("double") > t, F.lit(1)).otherwise(0).cast("long"))
+    words = F.sequence(F.lit(0), F.ceil(F.size(vector) / 64).cast("int") - 1)
+    return F.transform(words, lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.coalesce(F.get(bits, w * 64 + i), F.lit(0).cast("long")))))
+
+
+def weighted_hamming(a: Column, b: Column, weights: Column) -> Column:
+    """a and b: arrays of 0 and 1. 1 less the weight of the bits that differ as a share of all weights; 0 without weights."""
+    total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+    off = F.aggregate(F.zip_with(F.zip_with(a, b, lambda x, y: (x != y).cast("double")), weights, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    return F.when(total > 0, 1 - off / total).otherwise(0.0)
+
+
+def learned_thresholds(pairs, candidates: int = 50):
+    """pairs (a, b: vectors of the same meaning): for each dimension the one of `candidates` evenly spaced thresholds that puts
+    most pairs on one side, the least of equals: dim, k (its number) and threshold. Sums for all come from one pass."""
+    d = pairs.select(F.posexplode(F.arrays_zip("a", "b")).alias("dim", "p")).select("dim", F.col("p.a").cast("double").alias("x"), F.col("p.b").cast("double").alias("y"))
+    ends = d.groupBy("dim").agg(F.min(F.least("x", "y")).alias("lo"), F.max(F.greatest("x", "y")).alias("hi"))
+    t = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / (candidates - 1)
+    agree = [F.count_if((F.col("x") > t(k)) == (F.col("y") > t(k))).alias(f"c{k}") for k in range(candidates)]
+    sums = d.join(F.broadcast(ends), "dim").groupBy("dim", "lo", "hi").agg(*agree)
+    best = F.array_position(F.array(*[f"c{k}" for k in range(candidates)]), F.greatest(*[f"c{k}" for k in range(candidates)])).cast("int") - 1
+    return sums.withColumn("k", best).select("dim", "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (candidates - 1)).alias("threshold"))
