@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: What separates words: space and the controls 0x09 to 0x0D, in Java's regular expressions.
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: A key is hot from this many rows on, and if it has over one part in HOT_SHARE of all.
-HOT_LEAST, HOT_SHARE = 256, 10_000
+HOT_LEAST, HOT_SHARE = 50_000, 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,13 +53,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_hot(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """rows joined with dim, in which each key is once, so that no key of very many rows meets in one task.
 
     Keys with over 1/HOT_SHARE of the rows (and HOT_LEAST rows) are HOT_SHARE at most, so their part of dim is
-    broadcast; the rest is a plain join. how: inner or left. Null keys match nothing. rows are read three times."""
+    broadcast; the rest is a plain join, and so is the whole where there are HOT_LEAST rows at most (total: their number,
+    if known). how: inner or left. Null keys match nothing. rows are read several times."""
+    total = rows.count() if total is None else total
+    if total <= HOT_LEAST:
+        return rows.join(dim, key, how)
     n = rows.groupBy(key).count()
-    total = n.agg(F.sum("count")).first()[0] or 0
     hot = cut(n.filter((F.col("count") > max(HOT_LEAST, total // HOT_SHARE)) & F.col(key).isNotNull()).select(F.col(key).alias("_hot")))
     if hot.isEmpty():
         return rows.join(dim, key, how)

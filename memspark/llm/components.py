@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot
+from .common import HOT_LEAST, cut, join_hot
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -32,10 +32,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _signature(links)
     for _ in range(max_rounds if before[0] else 0):
         low = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
-        lifted = cut(join_hot(links, low.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("low", "a").alias("a"), "b"))
+        lifted = join_hot(links, low.withColumnRenamed("node", "a"), "a", "left", before[0]).select(F.coalesce("low", "a").alias("a"), "b")
+        lifted = cut(lifted) if before[0] > HOT_LEAST else lifted
         least = lifted.groupBy("b").agg(F.min("a").alias("low"))
         pairs = F.array(F.struct(F.col("low").alias("a"), F.col("b").alias("b")), F.struct(F.col("low").alias("a"), F.col("a").alias("b")))
-        links = cut(join_hot(lifted, least, "b").select(F.inline(pairs)).filter("a < b").distinct())
+        links = cut(join_hot(lifted, least, "b", "inner", before[0]).select(F.inline(pairs)).filter("a < b").distinct())
         after = _signature(links)
         if after == before:
             break

@@ -34,7 +34,7 @@ FIT_ROWS = 20_000
 #: Bytes of the beginnings that stand in for rare words; the prior's weight in texts; least log-odds of a listed word.
 BEGINNINGS, PRIOR, LEAST_ODDS = (10, 8, 7, 6, 5, 4), 5.0, 1.5
 #: What a listed word may have to show: (z value of its log-odds, toxic texts that hold it). One pair is chosen when fitting.
-SETTINGS = ((3.0, 3), (3.0, 10), (4.5, 3), (4.5, 10))
+SETTINGS = ((3.0, 3), (3.0, 10), (4.5, 10), (6.0, 10))
 #: Folds of the labelled rows; a text's weight, which near copies share.
 FOLDS, WHOLE = 3, 1 << 20
 #: Score of a word that isn't listed; a passage is reported if less than this number is expected by chance.
