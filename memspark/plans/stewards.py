@@ -71,9 +71,9 @@ def overdue_rows(spark, d):
 # -- recall -------------------------------------------------------------------------------
 
 _NODES = f"nx AS (SELECT node_id, layer, content, node_type, length(content) / 60 AS confidence, {NOW} - length(content) * {DAY} AS created_at FROM nodes)"
-ASKS = [("a1", "high urgent in"), ("a2", "list all promo"), ("a3", "почему almond and urgent supplier xyzzy"), ("a4", "low specified")]
+ASKS = [("a1", "small urgent in"), ("a2", "list all promo"), ("a3", "почему blue and urgent supplier xyzzy"), ("a4", "low specified")]
 _ASKS = "asks AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ASKS) + ") t(query_id, query))"
-SYN = {"almond": ["amandel", "azure"], "high": ["haut"]}
+SYN = {"small": ["petit", "tiny"], "blue": ["azure"]}
 RENAMED = {"urgent": "pressing", "high": "urgent"}
 
 
@@ -107,7 +107,7 @@ core AS (SELECT query_id, 'core' AS source, entry_id::varchar AS native_id, valu
 e0 AS (SELECT DISTINCT query_id, episode_id, summary, weight, created_at FROM episodes JOIN words ON contains(lower(summary), word)), e1 AS (SELECT *, {_ACT.format(n="1", now=NOW, last="created_at")} AS act FROM e0),
 epi AS (SELECT query_id, 'episodic' AS source, episode_id::varchar AS native_id, summary AS content, weight * {w("episodic")} * {lift("act")} AS score, created_at FROM e1),
 graph AS (SELECT query_id, 'graph' AS source, node_id AS native_id, content, confidence * {w("graph")} AS score, created_at FROM nx JOIN asks ON contains(lower(content), split_part(query, ' ', 1))),
-members AS (SELECT 'a3' AS query_id, unnest(['almond', 'amandel', 'azure']) AS word UNION ALL SELECT 'a1', unnest(['haut', 'high'])),
+members AS (SELECT 'a3' AS query_id, unnest(['azure', 'blue']) AS word UNION ALL SELECT 'a1', unnest(['petit', 'small', 'tiny'])),
 ent AS (SELECT DISTINCT query_id, 'entities' AS source, node_id AS native_id, content, {rc.ENTITY_SCORE * rc.weight_of(intent, "entities")}::double AS score, created_at FROM nx JOIN members ON contains(lower(content), word)),
 alls AS (SELECT * FROM core UNION ALL SELECT * FROM epi UNION ALL SELECT * FROM graph UNION ALL SELECT * FROM ent)"""
 
@@ -393,9 +393,9 @@ def cost_cap(spark, d):
     return a.select("log_id", F.round("spent", 4).alias("spent"), (F.round("spent", 4) <= 120).alias("within"))
 
 
-@query("staged_rows", with_sql(" SELECT id FROM journal WHERE ts >= 1000000 - 86400 * 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) <= 9", "journal"))
+@query("staged_rows", with_sql(" SELECT id FROM journal WHERE ts >= 300000 - 86400 * 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) <= 9", "journal"))
 def staged_rows(spark, d):
-    return up.staged(ad.journal(spark, d), ["user_id"], 1_000_000, 72, 9).select("id")
+    return up.staged(ad.journal(spark, d), ["user_id"], 300_000, 72, 9).select("id")
 
 
 @query("cold_months", with_sql(" SELECT id, strftime(to_timestamp(ts * 400)::timestamp, '%Y-%m') AS month, substr(text, 1, 200) AS brief, strftime(to_timestamp(ts * 400)::timestamp, '%Y-%m-%d ') AS day FROM journal WHERE id % 2 = 0", "journal"))
@@ -562,7 +562,7 @@ def largest_communities(spark, d):
 def capped_entities(spark, d):
     """Checked against a plain loop in the tests."""
     n = ad.nodes(spark, d).where("node_type <> 'supplier'").select("layer", "node_id", F.split("content", " ").alias("words"))
-    return up.shared_entities(n, ["almond", "azure", "blush"], 12).select("source_id", "target_id", "weight")
+    return up.shared_entities(n, ["small", "blue", "gear"], 12).select("source_id", "target_id", "weight")
 
 
 # -- vectors and the rest -----------------------------------------------------------------

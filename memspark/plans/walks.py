@@ -25,13 +25,22 @@ def led_to_edges(spark: SparkSession, d: str) -> DataFrame:
     return mn.led_to(j, MARKER).drop("relation")
 
 
-@query("dream_bridges", with_sql(f""", s AS (SELECT node_id, {_WORDS.format(c="content", n=3)} AS w FROM nodes), e AS (SELECT * FROM edges),
+#: Copies of every fifth part, without an edge.
+_LONE = "nt AS (SELECT * FROM nodes UNION ALL SELECT 'x' || p_partkey::varchar, 'user', p_name, lower(p_type) FROM part WHERE p_partkey % 5 = 0)"
+
+
+def _with_lone(spark: SparkSession, d: str) -> DataFrame:
+    p = ad.table(spark, d, "part").where("p_partkey % 5 = 0")
+    return ad.nodes(spark, d).unionByName(p.select(F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("node_id"), F.lit("user").alias("layer"), F.col("p_name").alias("content"), F.lower("p_type").alias("node_type")))
+
+
+@query("dream_bridges", with_sql(f""", {_LONE}, s AS (SELECT node_id, {_WORDS.format(c="content", n=3)} AS w FROM nt), e AS (SELECT * FROM edges),
 iso AS (SELECT * FROM s WHERE len(w) > 0 AND node_id NOT IN (SELECT source_id FROM e) AND node_id NOT IN (SELECT target_id FROM e)),
 p AS (SELECT a.node_id AS a, b.node_id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS sim FROM iso a JOIN s b ON a.node_id <> b.node_id AND len(b.w) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM p WHERE sim >= 0.7)
 SELECT DISTINCT least(a, b) AS source_id, greatest(a, b) AS target_id, round(sim * 0.3, 6) AS weight FROM r WHERE n = 1""", "nodes", "edges"))
 def dream_bridges(spark: SparkSession, d: str) -> DataFrame:
-    found = mn.bridges(ad.nodes(spark, d), ad.edges(spark, d))
+    found = mn.bridges(_with_lone(spark, d), ad.edges(spark, d))
     return found.select("source_id", "target_id", F.round("weight", 6).alias("weight"))
 
 
@@ -167,7 +176,7 @@ def pages_as_markdown(spark: SparkSession, d: str) -> DataFrame:
     return m.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-@query("orphan_anchors", with_sql(" SELECT node_id FROM nodes LEFT JOIN edges ON target_id = node_id WHERE node_type = 'promo' AND source_id IS NULL", "nodes", "edges"))
+@query("orphan_anchors", with_sql(f", {_LONE} SELECT node_id FROM nt LEFT JOIN edges ON target_id = node_id WHERE node_type = 'promo' AND source_id IS NULL", "nodes", "edges"))
 def orphan_anchors(spark: SparkSession, d: str) -> DataFrame:
-    nodes = ad.nodes(spark, d).withColumn("created_at", F.lit(NOW - 30 * ad.DAY))
+    nodes = _with_lone(spark, d).withColumn("created_at", F.lit(NOW - 30 * ad.DAY))
     return mn.old_anchors(nodes, ad.edges(spark, d), NOW, "promo").select("node_id")
