@@ -1,8 +1,10 @@
 """Near copies of texts: alike are texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with the same set are one class. A class emits BANDS hashes, each of ROWS minima of its shingles
+Texts with the same set are one class. Ball hashing of the SimHash of its shingles (simhash.variant_links) finds classes
+within two bits. Sets of similarity 0.8 differ in about ten of 64 bits, which no ball of a size that can be emitted
+reaches, so candidates come from minima, too: a class emits BANDS hashes, each of ROWS minima of its shingles
 under random orders; two classes of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS,
-which is 0.99995 at 0.8 and more above. Classes that share one are compared by their whole sets: first
+which is 0.99995 at 0.8 and more above. Candidates are compared by their whole sets: first
 each with the smallest of its band, then, where a band still holds several components, each class
 outside the component of the smallest with all classes of other components. So all pairs that share a
 band are compared but those that are in one component already."""
@@ -18,12 +20,13 @@ from pyspark.sql import types as T
 
 from .common import cut, join_hot, words_of
 from .components import connected_components
+from .simhash import fingerprint_of, variant_links
 
 SEED, SHINGLE_WORDS, LEAST = 42, 5, 0.8
 BANDS, ROWS = 25, 5
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
 _FACTORS, _MASKS = _ORDERS[0] | np.uint64(1), _ORDERS[1]
-_MARKS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_MARKS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("sim", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -54,7 +57,7 @@ def band_hashes(found: np.ndarray) -> np.ndarray:
 def marks_udf(texts: pd.Series) -> pd.DataFrame:
     sets = [shingle_set(t) for t in texts]
     keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-    return pd.DataFrame({"fp": keys, "size": np.array([len(s) for s in sets], np.int32), "bands": [band_hashes(s) for s in sets]})
+    return pd.DataFrame({"fp": keys, "size": np.array([len(s) for s in sets], np.int32), "sim": np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64), "bands": [band_hashes(s) for s in sets]})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -80,13 +83,24 @@ def _fit(a: str, b: str):
     return F.least(a, b) / F.greatest(a, b) >= LEAST
 
 
+def ball_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs a < b of classes to compare: of each fingerprint its smallest class with the others, and those of linked fingerprints."""
+    sims = classes.select("sim", "fp", "size")
+    first = cut(sims.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("low")))
+    same = join_hot(cut(sims), first, "sim").filter("fp <> low.fp").filter(_fit("size", "low.size")).select("low.fp", F.col("fp").alias("other"))
+    of = lambda k: first.select(F.col("sim").alias(k), F.col("low.fp").alias(f"f{k}"), F.col("low.size").alias(f"s{k}"))
+    near = variant_links(first.select(F.col("sim").alias("fp"))).join(of("a"), "a").join(of("b"), "b").filter(_fit("sa", "sb")).select("fa", "fb")
+    both = same.toDF("a", "b").unionByName(near.toDF("a", "b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def alike_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """classes: fp, size, bands, text_key, one row per class; texts: text_key, text. Returns links a, b that join all alike classes found."""
+    """classes: fp, size, sim, bands, text_key, one row per class; texts: text_key, text. Returns links a, b that join all alike classes found."""
     emitted = classes.select("fp", "size", F.explode("bands").alias("band"))
     shared = emitted.groupBy("band").agg(F.min(F.struct("fp", "size")).alias("low"), F.max("fp").alias("high")).filter("low.fp <> high")
     held = cut(emitted.join(shared.select("band", F.col("low.fp").alias("low"), F.col("low.size").alias("low_size")), "band"))
     stars = held.filter("fp <> low").filter(_fit("size", "low_size")).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
-    links = cut(_alike(stars, classes, texts))
+    links = cut(_alike(stars.unionByName(ball_pairs(classes)).distinct(), classes, texts))
     of = connected_components(links)
     own = held.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "size", "low", F.coalesce("component", "fp").alias("component"))
     base = own.filter("fp = low").select("band", F.col("component").alias("base"))
@@ -119,6 +133,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(text_col)
     key = F.xxhash64(text).alias("text_key")
     marked = cut(docs.select(F.col(id_col).alias("id"), key, marks_udf(text).alias("m")).select("id", "text_key", "m.*"))
-    classes = cut(marked.groupBy("fp").agg(F.min(F.struct("text_key", "size", "bands")).alias("m")).select("fp", "m.*"))
+    classes = cut(marked.groupBy("fp").agg(F.min(F.struct("text_key", "size", "sim", "bands")).alias("m")).select("fp", "m.*"))
     links = alike_links(classes, docs.select(key, text.alias("text")))
     return labelled(marked.select("id", "fp"), links).withColumnRenamed("id", id_col)

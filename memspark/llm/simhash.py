@@ -34,9 +34,15 @@ def fingerprint(text: str | None) -> int:
     ends = np.cumsum(sizes + 1) - 1
     starts, ends = (ends - sizes)[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts))
+    return fingerprint_of(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the 64-bit hashes; none: 0."""
+    if not len(hashes):
+        return 0
     seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE).ravel(), minlength=2048).reshape(8, 256)
-    bits = (2 * (seen @ _BITS) > len(starts)).astype(np.uint8)
+    bits = (2 * (seen @ _BITS) > len(hashes)).astype(np.uint8)
     return int.from_bytes(np.packbits(bits.ravel(), bitorder="little").tobytes(), "little")
 
 

@@ -9,9 +9,10 @@ import pytest
 import corpus_pipeline as cp
 from memspark.llm import fm, mixing, packing, quality_rules
 from memspark.llm.common import cut, read
+from memspark.llm.shingles import shingle_set
 
 from .test_packing import plain_best_fit
-from .test_simhash import components, plain_fingerprint
+from .test_simhash import components
 
 
 @pytest.fixture(scope="module")
@@ -58,9 +59,10 @@ def test_rules_keep_what_the_sql_keeps(kept):
 
 
 def test_one_of_each_group_of_near_copies_stays(kept):
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in kept[2].collect()}
-    least = components(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
-    assert ids(kept[3]) == Counter(d for d in prints if least[d] == d)
+    """Near copies are texts whose sets of 5-word shingles have a similarity of 0.8 or more."""
+    sets = {r.doc_id: set(shingle_set(r.text).tolist()) for r in kept[2].collect()}
+    least = components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * max(1, len(sets[a] | sets[b])))
+    assert ids(kept[3]) == Counter(d for d in sets if least[d] == d)
 
 
 def test_mixture_is_what_the_sql_says(kept):
@@ -84,3 +86,19 @@ def test_packing_is_plain_best_fit(kept):
 
 def test_run_gives_the_last_stage(spark, sf_dir, kept):
     assert sorted(map(tuple, cp.run(spark, sf_dir).collect())) == sorted(map(tuple, kept[5].collect()))
+
+
+def test_nulls_repeats_empty_tables_and_clashing_columns(spark, sf_dir):
+    base = read(spark, sf_dir, "documents")
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, text, None, None), (900001, None, "en", "s"), (900002, "", None, "s"), (900003, text, "en", None), (900003, text, "en", None), (900004, "a " * 30000, "de", "s")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", cp.F.length("text").cast(base.schema["n_chars"].dataType))
+    docs = base.unionByName(odd).withColumn("score", cp.F.lit("x")).withColumn("kept", cp.F.lit(1)).withColumn("_row", cp.F.lit(2.0))
+    for _, stage in cp.STAGES[:4]:
+        out = cut(stage(spark, docs, sf_dir))
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    packed = cp.pack(spark, docs, sf_dir)
+    assert packed.count() >= docs.count() and cp.pack(spark, docs.limit(0), sf_dir).count() == 0
+    one = {r.doc_id for r in cp.near_copies(spark, odd, sf_dir).collect()}
+    assert one == {900001, 900003, 900004}
