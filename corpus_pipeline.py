@@ -1,7 +1,9 @@
 """A corpus pipeline of five operators: classify, apply rules, drop near copies, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
-All stages but the last return the columns of documents."""
+All stages but the last return the columns of documents, in their order, and no others, whatever
+further columns docs has. Null ids, texts, languages and sources are values like others unless a
+stage says otherwise; an empty table goes through all stages and gives no rows."""
 
 from __future__ import annotations
 
@@ -15,16 +17,22 @@ from memspark.llm.common import cut, read, scratch_dir
 
 #: Share of the kept tokens that goes into the mixture, in thousandths.
 SHARE = 900
+#: Ids of documents that go, up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the factorisation machine predicts to be good (all labelled rows may be learned from)."""
+    """Keeps the documents that the factorisation machine predicts to be good (all labelled rows may be learned from).
+
+    Null and empty texts are scored like texts without words. Rows that repeat share their fate. Without labels all stay."""
     model = fm.fit_sample(docs, read(spark, sf_dir, "labels"), held=None)
     return fm.keep_good(docs, model)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents within the fences of their language and source."""
+    """Keeps the documents within the limits of their language and source.
+
+    Texts of under ten words (null and empty ones too) go. Values equal to a limit stay; rows that repeat share their fate."""
     return quality_rules.keep_good(docs)
 
 
@@ -34,23 +42,27 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of repeated rows with that doc_id all stay; rows without an id stay only where no row of the component has one."""
     found = shingles.near_copies(docs)
     gone = cut(found.filter("doc_id is null and component_id is not null or doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    # Ids are broadcast up to a number; beyond it texts are shuffled with them.
+    some = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(some, docs["doc_id"].eqNullSafe(some["doc_id"]), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the budgets of domains, languages and sources choose, each once."""
+    """Keeps the documents that the budgets of domains, languages and sources choose, each once.
+
+    Texts without words cost nothing and follow their order; rows that repeat are chosen each for itself."""
     return mixing.take(docs, mixing.production_mix(SHARE, 1))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece: doc_id, piece, n_tokens, bin_id, start."""
+    """One row per piece: doc_id, piece, n_tokens, bin_id, start. A text without words is one piece of 0 tokens."""
     return packing.packed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", classify),
     ("quality rules", rules),
-    ("shingle near-dedup", near_copies),
+    ("SimHash near-dedup", near_copies),
     ("mixing to target weights", mix),
     ("best-fit packing", pack),
 ]
