@@ -87,8 +87,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, d: str) -> DataFrame:
-    """node_id, tag: a part's size and its type."""
-    p = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.array(F.concat(F.lit("size:"), F.col("p_size").cast("string")), F.concat_ws(":", F.lit("type"), "p_type")).alias("tags"))
+    """node_id, tag: a part's size and its line (40 parts that follow one another)."""
+    p = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.array(F.concat(F.lit("size:"), F.col("p_size").cast("string")), F.concat(F.lit("line:"), F.floor(F.col("p_partkey") / 40).cast("string"))).alias("tags"))
     return p.select("node_id", F.explode("tags").alias("tag"))
 
 
@@ -113,7 +113,7 @@ SQL = {
     "episodes": f"episodes AS (SELECT d.doc_id AS episode_id, lang AS user_id, text AS summary, coalesce(quality * 0.6::double + toxic * 0.3::double, 0.5::double) AS weight, ['lang:' || lang, 'src:' || source] AS tags, {NOW} - d.doc_id * 3600 AS created_at FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)",
     "nodes": "nodes AS (SELECT 's' || s_suppkey::varchar AS node_id, 'user' AS layer, s_name AS content, 'supplier' AS node_type FROM supplier UNION ALL SELECT 'p' || p_partkey::varchar, 'user', p_name, lower(p_type) FROM part)",
     "edges": "edges AS (SELECT 's' || l_suppkey::varchar AS source_id, 'p' || l_partkey::varchar AS target_id, 'supplies' AS relation, least(1.0::double, round(sum(l_discount), 2) + 0.1::double) AS weight, epoch(min(l_shipdate))::bigint AS created_at, epoch(min(l_shipdate))::bigint AS valid_from, CASE WHEN count(*) > 1 THEN epoch(max(l_shipdate))::bigint END AS valid_to FROM lineitem GROUP BY l_suppkey, l_partkey)",
-    "tags": "tags AS (SELECT DISTINCT 'p' || p_partkey::varchar AS node_id, unnest(['size:' || p_size::varchar, 'type:' || p_type]) AS tag FROM part)",
+    "tags": "tags AS (SELECT DISTINCT 'p' || p_partkey::varchar AS node_id, unnest(['size:' || p_size::varchar, 'line:' || (p_partkey // 40)::varchar]) AS tag FROM part)",
     "audit": "audit AS (SELECT event_id AS log_id, user_id, event_type AS action, json_extract_string(props, '$.k') AS target_id, floor(epoch(ts))::bigint AS ts, value FROM events)",
     "wiki_links": "wiki_links AS (SELECT '/page' || page_id::varchar AS from_path, unnest(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))) AS to_path FROM pages)",
 }
