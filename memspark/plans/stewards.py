@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..operators import graph as gr
 from ..operators import miners as mn
 from ..operators import recall as rc
+from ..operators import stores as st
 from ..operators import upkeep as up
 from ..operators import windows as wn
 from ..sources import adapters as ad
@@ -682,3 +683,55 @@ def activation_of_targets(spark, d):
 
     g = ad.audit(spark, d).groupBy("target_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     return g.select("target_id", F.round(sc.actr(F.lit(NOW), F.col("last"), F.col("n")), 6).alias("activation"), F.round(sc.sigmoid(F.col("n") - 3), 6).alias("sure"))
+
+
+# -- stores -------------------------------------------------------------------------------
+
+
+@query("branch_counts", fx(" SELECT 'user@' || b AS layer, count(*) AS n FROM fx, (VALUES ('draft')) t(b) WHERE layer = 'user' AND user_id = 'u3' GROUP BY b"))
+def branch_counts(spark, d):
+    return st.branches(st.create_branch(facts_x(spark, d), "user", "u3", "draft"))
+
+
+_BRANCH = "ub AS (SELECT user_id, key, value, 'user' AS layer FROM l WHERE entry_id % 3 > 0 UNION ALL SELECT user_id, key, CASE WHEN entry_id % 2 = 0 THEN 'new ' || value ELSE value END, 'user@draft' FROM l WHERE entry_id % 5 > 0)"
+
+
+@query("merged_branch", with_sql(f", {_LAST}, {_BRANCH}, b AS (SELECT * FROM ub WHERE layer = 'user@draft'), m AS (SELECT * FROM ub WHERE layer = 'user') SELECT coalesce(m.user_id, b.user_id) AS user_id, coalesce(m.key, b.key) AS key, coalesce(b.value, m.value) AS value FROM m FULL JOIN b ON m.user_id = b.user_id AND m.key = b.key", "facts"))
+def merged_branch(spark, d):
+    f = _latest(spark, d)
+    m = f.where("entry_id % 3 > 0").select("user_id", "key", "value", F.lit("user").alias("layer"))
+    b = f.where("entry_id % 5 > 0").select("user_id", "key", F.when(F.col("entry_id") % 2 == 0, F.concat(F.lit("new "), "value")).otherwise(F.col("value")).alias("value"), F.lit("user@draft").alias("layer"))
+    return st.merge_branch(m.unionByName(b), "user", "draft")
+
+
+@query("snapshot_rows", with_sql(f", {_LAST} SELECT entry_id, value FROM l WHERE entry_id % 2 = 0", "facts"))
+def snapshot_rows(spark, d):
+    f = _latest(spark, d).select("entry_id", "user_id", "key", "value")
+    store = st.snapshot(f, ["user_id", "key"], "a", 1).unionByName(st.snapshot(f.where("entry_id % 2 = 0"), ["user_id", "key"], "a", 2))
+    return st.from_snapshot(store, "a", "entry_id long, user_id string, key string, value string").select("entry_id", "value")
+
+
+@query("fetched_after", with_sql(" SELECT log_id, (SELECT max(log_id) FROM audit) AS cursor FROM audit WHERE log_id > 100 AND action = 'click' ORDER BY log_id LIMIT 30", "audit"))
+def fetched_after(spark, d):
+    a = ad.audit(spark, d)
+    return st.fetch_after(a, "log_id", 100, 30, F.col("action") == "click").select("log_id").crossJoin(st.latest(a, "log_id"))
+
+
+@query("cached_vectors", with_sql(" SELECT id, sha256(regexp_replace(regexp_replace(trim(lower(text)), '[^\\pL\\pN_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS text_hash, bool_or(id % 3 = 0) OVER (PARTITION BY regexp_replace(regexp_replace(trim(lower(text)), '[^\\pL\\pN_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS hit FROM journal", "journal"))
+def cached_vectors(spark, d):
+    j = ad.journal(spark, d).select("id", "text")
+    cache = j.where("id % 3 = 0").select(F.sha2(st.normal_text(F.col("text")), 256).alias("text_hash"), F.lit("m").alias("model"), F.array(F.lit(1.0)).alias("embedding"))
+    return st.cached(j, cache, "m").select("id", "text_hash", F.col("embedding").isNotNull().alias("hit"))
+
+
+@query("shortened_logs", with_sql(""", r AS (SELECT id, string_split(replace(text, ' ', chr(10)), chr(10)) AS l FROM journal), k AS (SELECT id, list_concat(CASE WHEN trim(l[1]) <> '' THEN [l[1]] ELSE [] END, list_filter(l[2:], lambda x: contains(x, 'error') OR contains(x, 'fail') OR contains(x, 'warn') OR contains(x, 'assert') OR contains(x, 'fatal') OR contains(x, 'panic'))) AS k FROM r)
+SELECT id, len(list_filter(range(1, len(k) + 1), lambda i: i = 1 OR k[i] <> k[i - 1]))::int AS n FROM k""", "journal"))
+def shortened_logs(spark, d):
+    short = st.shortened_log(F.replace("text", F.lit(" "), F.lit("\n")), 10_000)
+    return ad.journal(spark, d).select("id", F.when(short == "", 0).otherwise(F.size(F.split(short, "\n"))).alias("n"))
+
+
+@query("identity_chunks", "WITH p AS (SELECT s_suppkey AS id, 'opening of ' || s_name || ' ' || repeat('x', 20) || chr(10) || '## One' || chr(10) || repeat('y', 40) || chr(10) || '## Two' || chr(10) || 'short' AS t FROM supplier) SELECT id, 0 AS place, 'opening of ' || s_name || ' ' || repeat('x', 20) AS heading FROM p JOIN supplier ON id = s_suppkey UNION ALL SELECT id, 1, 'One' FROM p")
+def identity_chunks(spark, d):
+    s = ad.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("opening of "), "s_name", F.lit(" " + "x" * 20 + "\n## One\n" + "y" * 40 + "\n## Two\nshort")).alias("t"))
+    return st.identity_chunks(s, "id", "t").select("id", "place", "heading")

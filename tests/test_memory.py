@@ -12,6 +12,7 @@ from memspark.operators import graph as gr
 from memspark.operators import lifecycle as lc
 from memspark.operators import privacy as pv
 from memspark.operators import retrieval as rt
+from memspark.operators import stores as st
 from memspark.operators import upkeep as up
 from memspark.operators import windows as wn
 
@@ -128,3 +129,19 @@ def test_words_of_bits_of_long_vectors(spark):
 def test_tool_triplets_and_saves(spark):
     pairs = spark.createDataFrame([("c", "grep", "needle", "found it", False)], "call string, tool string, argument string, result string, is_error boolean")
     assert {(r.source_id, r.target_id) for r in up.tool_triplets(pairs).collect()} == {("query:needle", "action:grep:needle"), ("action:grep:needle", "outcome:ok:found it")}
+
+
+def test_exports_come_back_and_are_counted(spark, tmp_path):
+    facts = spark.createDataFrame([("u", "a", "1", "goal"), ("u", "b", None, "fact"), ("v", "a", "2", "goal")], "user_id string, key string, value string, memory_kind string")
+    st.export_parts(facts, f"{tmp_path}/x", F.col("memory_kind"), "kind")
+    new, counts = st.import_new(spark, f"{tmp_path}/x", "user_id string, key string, value string", facts.limit(0).unionByName(facts.where("user_id = 'v'")), ["user_id", "key"])
+    assert {(r.user_id, r.key, r.value) for r in new.collect()} == {("u", "a", "1"), ("u", "b", None)}
+    assert tuple(counts.first()) == (3, 2, 1)
+    left = st.archive_and_prune(facts, f"{tmp_path}/y", F.col("memory_kind") == "goal")
+    assert left.count() == 1 and spark.read.json(f"{tmp_path}/y").count() == 2
+    assert st.delete_branch(st.create_branch(facts.withColumn("layer", F.lit("l")), "l", "u", "b"), "l", "b").count() == 3
+
+
+def test_hash_vectors_have_unit_length(spark):
+    (r,) = spark.createDataFrame([("Some Text",)], "t string").select(st.hash_embedding("t").alias("v")).collect()
+    assert len(r.v) == 384 and abs(sum(x * x for x in r.v) - 1) < 1e-6 and r.v == st.hash_vector("some text")
