@@ -15,7 +15,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, join_hot, read
@@ -93,6 +93,25 @@ def _block_pair(table: pa.Table, cosine: float, ddl: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids[out]), pa.array(links[out]), pa.array(ids[root[out]])], schema=ddl)
 
 
+def _name(label: str, e: str) -> Column:
+    return F.xxhash64(label, e)
+
+
+def _classes(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors of a label are a class, named by a hash of both. Where others have the same hash, all but the least
+    take another. Returns v with the names it ends with, and the classes."""
+    for again in range(3):
+        found = v.filter("copies is not null").groupBy(F.col("copies").alias("cid")).agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.min(F.struct("label", "e")).alias("low"), F.max(F.struct("label", "e")).alias("high"))
+        found = cut(found.withColumn("clash", F.col("low") != F.col("high")).select("cid", "least", "m", "low.*", "clash"))
+        clash = found.filter("clash").select("cid", F.col("label").alias("_label"), F.col("e").alias("_e"))
+        if clash.isEmpty():
+            return v, found.drop("clash")
+        other = F.col("_e").isNotNull() & ((F.col("label") != F.col("_label")) | (F.col("e") != F.col("_e")))
+        met = v.join(clash, F.col("copies") == F.col("cid"), "left")
+        v = cut(met.withColumn("copies", F.when(other, F.xxhash64(F.lit(again), "label", "e")).otherwise(F.col("copies"))).select(*v.columns))
+    raise RuntimeError("hashes of vectors still clash")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vectors: vec_id long, label, embedding (an array of floats or doubles).
 
@@ -104,9 +123,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
     fine = F.coalesce(F.col("label").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0), F.lit(False))
-    v = cut(v.select("vec_id", F.when(fine, F.xxhash64("label", "e")).alias("copies"), F.when(fine, F.col("label")).alias("label"), F.when(fine, F.col("e")).alias("e")))
-    # Equal vectors of a label are a class; its name is a hash of both.
-    classes = cut(v.filter("copies is not null").groupBy(F.col("copies").alias("cid")).agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.min("label").alias("label"), F.min("e").alias("e")))
+    v = cut(v.select("vec_id", F.when(fine, _name("label", "e")).alias("copies"), F.when(fine, F.col("label")).alias("label"), F.when(fine, F.col("e")).alias("e")))
+    v, classes = _classes(v)
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     depth, tables = tables_for(largest, cosine, recall)
 

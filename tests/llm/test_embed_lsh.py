@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from memspark.llm import embed_lsh as el
 
@@ -78,3 +79,12 @@ def test_empty_table_and_repeated_rows(spark):
     assert el.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     got = el.near_duplicates(spark.createDataFrame([(5, 1, [1.0, 0.0], "")] * 3 + [(None, 1, [1.0, 0.0], "")], SCHEMA)).collect()
     assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == {(5, 3, 5, True): 3, (None, 3, 5, False): 1}
+
+
+def test_vectors_whose_hashes_clash_stay_apart(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"l{i % 2}", x.tolist()) for i, x in enumerate(np.repeat(rng.normal(size=(20, 6)), 2, 0))]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    want = sorted(map(tuple, el.near_duplicates(df).collect()))
+    monkeypatch.setattr(el, "_name", lambda label, e: F.pmod(F.xxhash64(label, e), F.lit(5)))
+    assert sorted(map(tuple, el.near_duplicates(df).collect())) == want
