@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_lsh, fm, hpylm, licenses, line_dedup, mixing, packing, quality_rules, simhash, toxic, wacz
+from . import embed_lsh, filter_audit, fm, hpylm, licenses, line_dedup, mixing, packing, quality_rules, simhash, toxic, wacz
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_fm": fm.op8_quality_fm,
         "op9_packing": packing.op9_packing,
         "op10_toxic_segments": toxic.op10_toxic_segments,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
         "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
@@ -31,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality_rules.ORACLE_SQL,
         "op5_wacz": wacz.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
         "op13_line_dedup": line_dedup.ORACLE_SQL,
     }
