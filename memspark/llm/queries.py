@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_lsh, filter_audit, fm, hpylm, licenses, line_dedup, mixing, packing, quality_rules, simhash, toxic, wacz
+from . import embed_lsh, filter_audit, fm, hpylm, licenses, line_dedup, mixing, packing, quality_rules, runs, simhash, toxic, wacz
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_toxic_segments": toxic.op10_toxic_segments,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_periodic_runs": runs.op12_periodic_runs,
         "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
