@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
@@ -47,6 +48,45 @@ def test_near_copies_match_brute_force_beyond_two_bits(spark):
     assert sorted(r.doc_id for r in kept) == sorted({*want.values()})
 
 
+def test_large_bands_are_split_and_lose_no_link(spark):
+    """Very many texts that share half of their words, among them pairs of copies; bands of over four classes are split."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(100)]
+        rows.append((2 * i, " ".join(own + passage)))
+        for at in rng.sample(range(100), i % 4):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(own + passage)))
+    sets = {d: plain_set(t) for d, t in rows}
+    want = components(list(sets), lambda a, b: alike(sets[a], sets[b]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), shingles.marks_udf("text").alias("m")).select("id", "text_key", "m.*").cache()
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    for group in (4, shingles.GROUP):
+        links = shingles.alike_links(marked.drop("id"), texts, group)
+        assert {r.id: r.component_id for r in shingles.labelled(marked.select("id", "fp"), links).collect()} == want
+    own = marked.select("fp", "size", "sketch", "bands", F.col("fp").alias("component"))
+    assert shingles.cross_pairs(own, 4).count() < 5 * len(rows)
+    marked.unpersist()
+
+
+def test_sketches_estimate_the_similarity():
+    rng = random.Random(2)
+    for s in (0.0, 0.5, 0.8, 1.0):
+        off = []
+        for _ in range(50):
+            n = 600
+            same = round(2 * n * s / (1 + s))
+            ids = [rng.getrandbits(64) for _ in range(2 * n)]
+            a, b = (shingles.band_hashes(np.unique(np.array(x, np.uint64)))[1] for x in (ids[:n], ids[n - same : 2 * n - same]))
+            differ = sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
+            off.append(1 - 2 * differ / (64 * len(a)) - s)
+        assert abs(np.mean(off)) < 0.03
+        assert np.std(off) < 0.06
+
+
 def test_nearest_ids_of_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (4, "A b c d"), (None, "q w e")], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.component_id)) for r in shingles.near_copies(docs).collect()) == [("4", "4"), ("None", "4"), ("None", "None")]
