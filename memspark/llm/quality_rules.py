@@ -2,9 +2,11 @@
 
 Every text is measured with SQL functions alone. KLL sketches of each measure are
 built for each (language, source), partly before the shuffle, and merged upwards
-into sketches of the language and of all rows. The limits of a measure are a high and
-a low quantile and a multiple of their distance beyond, so nothing but the data sets
-them; a leaf with too few rows takes its language's, and a language with too few those
+into sketches of the language and of all rows. The limits of a measure lie beyond a high and
+a low quantile by a multiple of their distance, the one at which an exponential tail holds REJECT of
+the rows. A measure that most rows have alike has no distance; its step then stands for it: what one symbol,
+line or word is in the median text. One symbol, line or word more never
+decides by itself. A leaf with too few rows takes its language's limits, and a language with too few those
 of all rows. Measures and limits are then joined.
 
 Sketches hold all values of up to SKETCH rows, so quantiles are exact there; beyond,
@@ -12,6 +14,8 @@ their rank is off by under 0.2 % of the rows (99 % confidence, the same after me
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +23,23 @@ from .common import SPACES, cut, read, written
 
 #: Rows that a leaf or a language needs for limits of its own; sketch size (exact up to about this many rows).
 LEAST_ROWS, SKETCH = 100, 2048
-#: Of each measure the high quantile (the low one is its mirror) and how many of their distances the limits lie beyond.
+#: Share of the rows that a limit is to reject where the tail is exponential.
+REJECT = 1 / 5000
+#: Of each measure the high quantile; the low one is its mirror.
 #: Junk is more than a tail of word lengths and symbols, so those start at the quartiles; repeats are rare in any text.
-FENCES = {"word_length": (0.75, 6.0), "symbols": (0.75, 6.0), "dup_lines": (0.99, 1.0), "repeats": (0.99, 1.0)}
+FENCES = {"word_length": 0.75, "symbols": 0.75, "dup_lines": 0.99, "repeats": 0.99}
+#: What one of a measure's counts is a share of.
+STEPS = {"symbols": "n_words", "dup_lines": "n_lines", "repeats": "n_words"}
 #: Thresholds of at most this many leaves are broadcast; more are joined by a shuffle.
 BROADCAST_LEAVES = 100_000
 _BLANK = " \t\n\x0b\f\r"
 
 
+def reach(q: float) -> float:
+    """How many distances between the quantiles q and 1 - q a limit lies beyond q: an exponential tail's quantiles are -ln(1 - q)."""
+    return (math.log(1 / REJECT) + math.log(1 - q)) / math.log(q / (1 - q))
+
+
 def measured(docs: DataFrame, text: Column, carry: dict[str, Column]) -> DataFrame:
     """The columns in carry and the counts of each whole text.
 
@@ -63,12 +76,16 @@ def _ratios() -> dict[str, Column]:
     return {"word_length": F.col("word_chars") / words, "symbols": F.col("n_symbols") / words, "dup_lines": F.col("n_dup_lines") / lines, "repeats": F.col("n_repeat_words") / words}
 
 
-def _fence(sketch: str, name: str) -> tuple[Column, Column]:
-    high_at, ranges = FENCES[name]
-    at = lambda r: F.kll_sketch_get_quantile_double(sketch, F.lit(r))
-    low, high = at(round(1 - high_at, 9)), at(high_at)
-    reach = F.lit(ranges) * (high - low)
-    return (low - reach).alias(f"{name}_low"), (high + reach).alias(f"{name}_high")
+def _steps() -> dict[str, Column]:
+    return {n: 1 / F.greatest(n, F.lit(1)) for n in dict.fromkeys(STEPS.values())}
+
+
+def _fence(name: str) -> tuple[Column, Column]:
+    at = lambda sketch, r: F.kll_sketch_get_quantile_double(sketch, F.lit(r))
+    low, high = at(name, round(1 - FENCES[name], 9)), at(name, FENCES[name])
+    spread = F.greatest(high - low, at(f"_per_{STEPS[name]}", 0.5)) if name in STEPS else high - low
+    beyond = F.lit(reach(FENCES[name])) * spread
+    return (low - beyond).alias(f"{name}_low"), (high + beyond).alias(f"{name}_high")
 
 
 def limits(measures: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -76,12 +93,12 @@ def limits(measures: DataFrame, lang: str = "lang", source: str = "source") -> D
 
     Rows that fail the base rules don't count. A null lang or source is a value of its own.
     Fences are null (nothing is out of bounds) only where no row at all counts."""
-    ratios = _ratios()
+    ratios = _ratios() | {f"_per_{k}": c for k, c in _steps().items()}
     rows = measures.withColumn("_counts", ~base_failed())
     part = lambda c: F.when(F.col("_counts"), c)
     leaf = cut(rows.groupBy(lang, source).agg(F.count_if("_counts").alias("n"), *[F.kll_sketch_agg_double(part(c), SKETCH).alias(k) for k, c in ratios.items()]))
-    fences = [f for k in ratios for f in _fence(k, k)]
-    names = [f"{k}_{side}" for k in ratios for side in ("low", "high")]
+    fences = [f for k in FENCES for f in _fence(k)]
+    names = [f"{k}_{side}" for k in FENCES for side in ("low", "high")]
     of = lambda df: [F.when(F.col("n") > 0, f).alias(n) for n, f in zip(names, fences)]  # noqa: E731, ARG005
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in ratios]]
     seen = leaf.filter("n > 0")
@@ -98,8 +115,10 @@ def verdicts(measures: DataFrame, fences: DataFrame) -> DataFrame:
     f = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     both = measures.join(F.broadcast(f) if small else f, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     out = F.lit(False)
+    steps = _steps()
     for k, c in _ratios().items():
-        out = out | F.coalesce((c < F.col(f"{k}_low")) | (c > F.col(f"{k}_high")), F.lit(False))
+        less = c - steps[STEPS[k]] if k in STEPS else c
+        out = out | F.coalesce((c < F.col(f"{k}_low")) | (less > F.col(f"{k}_high")), F.lit(False))
     return both.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~out).drop(*f.columns)
 
 
@@ -130,15 +149,18 @@ _NAMES = list(FENCES)
 
 def _sql_fences(groups: str, prefix: str) -> str:
     at = lambda n, q, side: f"list_sort(list({n}))[greatest(1, ceil({q} * count(*)))::int] AS {n}_{side}"
-    cols = ", ".join(f"{at(n, round(1 - q, 9), 'low')}, {at(n, q, 'high')}" for n, (q, _) in FENCES.items())
+    cols = ", ".join(f"{at(n, round(1 - q, 9), 'low')}, {at(n, q, 'high')}" for n, q in FENCES.items())
+    cols += "".join(f", {at(f'per_{n}', 0.5, 'mid')}" for n in dict.fromkeys(STEPS.values()))
     keys = f"{groups}, " if groups else ""
     return f"{prefix} AS (SELECT {keys}count(*) AS n, {cols} FROM r WHERE NOT base_failed {'GROUP BY ALL' if groups else ''})"
 
 
 def _sql_out(n: str) -> str:
-    q = lambda s: f"CASE WHEN s.n >= {LEAST_ROWS} THEN s.{n}_{s} WHEN l.n >= {LEAST_ROWS} THEN l.{n}_{s} ELSE a.{n}_{s} END"
-    reach = f"{FENCES[n][1]}::double * (({q('high')}) - ({q('low')}))"
-    return f"coalesce(r.{n} < ({q('low')}) - {reach} OR r.{n} > ({q('high')}) + {reach}, false)"
+    q = lambda c: f"(CASE WHEN s.n >= {LEAST_ROWS} THEN s.{c} WHEN l.n >= {LEAST_ROWS} THEN l.{c} ELSE a.{c} END)"
+    spread = f"{q(f'{n}_high')} - {q(f'{n}_low')}"
+    spread, less = (f"greatest({spread}, {q(f'per_{STEPS[n]}_mid')})", f"r.{n} - r.per_{STEPS[n]}") if n in STEPS else (spread, f"r.{n}")
+    beyond = f"{reach(FENCES[n])!r}::double * ({spread})"
+    return f"coalesce(r.{n} < {q(f'{n}_low')} - {beyond} OR {less} > {q(f'{n}_high')} + {beyond}, false)"
 
 
 ORACLE_SQL = rf"""
@@ -151,7 +173,7 @@ m AS (SELECT t.doc_id, lang, source, len(w)::bigint AS n_words, coalesce(list_su
   len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint AS n_symbols, len(l)::bigint AS n_lines, (len(l) - len(list_distinct(l)))::bigint AS n_dup_lines, coalesce(p.n, 0)::bigint AS n_repeat_words
   FROM t LEFT JOIN p ON t.doc_id = p.doc_id),
 r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, word_chars / greatest(n_words, 1) AS word_length, n_symbols / greatest(n_words, 1) AS symbols,
-  n_dup_lines / greatest(n_lines, 1) AS dup_lines, n_repeat_words / greatest(n_words, 1) AS repeats FROM m),
+  n_dup_lines / greatest(n_lines, 1) AS dup_lines, n_repeat_words / greatest(n_words, 1) AS repeats, 1 / greatest(n_words, 1) AS per_n_words, 1 / greatest(n_lines, 1) AS per_n_lines FROM m),
 {_sql_fences("lang, source", "s")}, {_sql_fences("lang", "l")}, {_sql_fences("", "a")}
 SELECT r.doc_id, r.n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(map(_sql_out, _NAMES))}) AS kept
 FROM r LEFT JOIN s ON r.lang IS NOT DISTINCT FROM s.lang AND r.source IS NOT DISTINCT FROM s.source LEFT JOIN l ON r.lang IS NOT DISTINCT FROM l.lang, a

@@ -1,5 +1,6 @@
 """Quality rules against plain Python."""
 
+import math
 import random
 from collections import Counter
 
@@ -46,6 +47,23 @@ def test_fences_keep_clean_rows_and_drop_outliers(spark):
     assert ids <= set(range(600)) and len(ids) >= 580
 
 
+def test_a_symbol_in_some_texts_is_no_junk(spark):
+    """A tenth of the rows holds one symbol, so both quartiles are 0; those rows stay, rows full of symbols go."""
+    rng = random.Random(4)
+    words = lambda n: [rng.choice(["some", "plain", "word", "here"]) + str(rng.randrange(10**6)) for _ in range(n)]
+    rows = [(i, " ".join(words(rng.randrange(12, 200)) + (["5%"] if i % 10 == 0 else [])), "en", "s") for i in range(1000)]
+    rows += [(5000 + i, " ".join(w + "#$" for w in words(60)), "en", "s") for i in range(30)]
+    kept = {r.doc_id for r in qr.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i in range(1000) if i % 10 == 0} <= kept
+    assert not kept & set(range(5000, 5030))
+
+
+def test_an_exponential_tail_loses_the_asked_for_share(spark):
+    for q in (0.75, 0.99):
+        limit = -math.log(1 - q) + qr.reach(q) * math.log(q / (1 - q))
+        assert math.isclose(math.exp(-limit), qr.REJECT)
+
+
 def test_leaves_with_limits_of_their_own_match_the_sql(spark, tmp_path):
     """Three leaves of over 100 rows each, of which 5 % are outliers of one measure or another."""
     rng, rows = random.Random(7), []
