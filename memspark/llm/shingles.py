@@ -31,6 +31,8 @@ SEED, SHINGLE_WORDS, LEAST = 42, 5, 0.8
 BANDS, ROWS = 32, 5
 #: Bits of a minimum in a sketch; estimate from which on whole sets are compared; classes of a band that are compared pair by pair; bands that a pair shares at most to meet.
 BITS, LIKELY, GROUP, DEEPEST = 4, 0.6, 64, 3
+#: Texts to compare up to which their names are broadcast.
+BROADCAST_TEXTS = 1_000_000
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
 _FACTORS, _MASKS = _ORDERS[0] | np.uint64(1), _ORDERS[1]
 _MARKS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("sim", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
@@ -83,8 +85,10 @@ def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs a, b whose sets are alike. Only sets of classes in a pair are made and dealt out, and narrow rows meet at a hot class first."""
     pairs = cut(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = classes.join(ends, "fp", "left_semi").select("fp", "text_key")
-    whole = texts.join(wanted, "text_key").groupBy("fp").agg(F.min("text").alias("text"))
+    wanted = cut(classes.join(ends, "fp", "left_semi").select("fp", "text_key"))
+    # Names of wanted texts are broadcast up to a number; beyond it all texts are shuffled.
+    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    whole = texts.join(some, "text_key").groupBy("fp").agg(F.min("text").alias("text"))
     sets = cut(whole.select("fp", set_udf("text").alias("set")))
     left, right = (sets.select(F.col("fp").alias(k), F.col("set").alias(f"of_{k}")) for k in "ab")
     met = pairs.join(left, "a").join(right, "b")
@@ -114,6 +118,13 @@ def ball_pairs(classes: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose sizes and sketches let them be alike."""
+    of = lambda k: classes.select(F.col("fp").alias(k), F.col("size").alias(f"s{k}"), F.col("sketch").alias(f"k{k}"))
+    met = join_hot(join_hot(pairs, of("a"), "a"), of("b"), "b")
+    return met.filter(_fit("sa", "sb")).filter(_likely("ka", "kb")).select("a", "b")
+
+
 def _crossed(rows: DataFrame) -> DataFrame:
     """rows: key, fp, size, sketch, component, base. Likely pairs a, b of classes that share a key and differ in component."""
     of = lambda k, df: df.select("key", *[F.col(c).alias(f"{k}_{c}") for c in ("fp", "size", "sketch", "component")])
@@ -129,38 +140,39 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(cut(keys.select("key", "n", F.col("most.component").alias("base"))), "key")
 
 
-def cross_pairs(classes: DataFrame, group: int = GROUP) -> DataFrame:
-    """classes: fp, size, sketch, bands, component. Pairs a, b to compare: classes of different components that share a band.
+def cross_pairs(held: DataFrame, classes: DataFrame, group: int = GROUP) -> DataFrame:
+    """held: band, fp of bands with several classes; classes: fp, size, sketch, bands, component. Pairs a, b to compare: classes of different components that share a band.
 
-    Those of a band with over group classes must share a second one, and a third if that is large, too."""
-    narrow = ["fp", "size", "sketch", "component"]
-    rows = classes.select(*narrow, F.explode("bands").alias("key")).withColumn("parts", F.array("key"))
+    Those of a band with over group classes must share a second one, and a third if that is large, too. Only
+    classes of bands with several components carry their sketches."""
+    rows = held.select(F.col("band").alias("key"), "fp", F.array("band").alias("parts")).join(classes.select("fp", "component"), "fp")
     pairs = None
     for shared in range(1, DEEPEST + 1):
         rows = cut(_mixed(rows))
         last = shared == DEEPEST
-        found = _crossed(rows if last else rows.filter(F.col("n") <= group))
+        found = rows if last else rows.filter(F.col("n") <= group)
+        found = _crossed(found.drop("parts").join(classes.select("fp", "size", "sketch"), "fp"))
         pairs = found if pairs is None else pairs.unionByName(found)
         large = rows.filter(F.col("n") > group)
         if last or large.isEmpty():
             break
-        deeper = large.select(*narrow, "parts").join(classes.select("fp", "bands"), "fp")
-        deeper = deeper.select(*narrow, F.explode(F.array_except("bands", "parts")).alias("band"), "parts")
-        deeper = deeper.select(*narrow, F.array_sort(F.array_append("parts", F.col("band"))).alias("parts"))
-        rows = deeper.select(*narrow, F.xxhash64("parts").alias("key"), "parts").dropDuplicates(["key", "fp"])
+        deeper = large.select("fp", "component", "parts").join(classes.select("fp", "bands"), "fp")
+        deeper = deeper.select("fp", "component", F.explode(F.array_except("bands", "parts")).alias("band"), "parts")
+        deeper = deeper.select("fp", "component", F.array_sort(F.array_append("parts", F.col("band"))).alias("parts"))
+        rows = deeper.select("fp", "component", F.xxhash64("parts").alias("key"), "parts").dropDuplicates(["key", "fp"])
     return pairs.distinct()
 
 
 def alike_links(classes: DataFrame, texts: DataFrame, group: int = GROUP) -> DataFrame:
     """classes: fp, size, sim, bands, sketch, text_key, one row per class; texts: text_key, text. Returns links a, b that join all alike classes found."""
-    emitted = classes.select("fp", "size", "sketch", F.explode("bands").alias("band"))
-    shared = emitted.groupBy("band").agg(F.min(F.struct("fp", "size", "sketch")).alias("low"), F.max("fp").alias("high")).filter("low.fp <> high")
-    held = emitted.join(shared.select("band", "low"), "band").filter("fp <> low.fp").filter(_fit("size", "low.size")).filter(_likely("sketch", "low.sketch"))
-    stars = held.select(F.col("low.fp").alias("a"), F.col("fp").alias("b")).distinct()
-    links = cut(_alike(stars.unionByName(ball_pairs(classes)).distinct(), classes, texts))
+    emitted = classes.select("fp", F.explode("bands").alias("band"))
+    shared = emitted.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
+    held = cut(emitted.join(shared.select("band", "low"), "band"))
+    stars = held.filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).unionByName(ball_pairs(classes)).distinct()
+    links = cut(_alike(_sifted(cut(stars), classes), classes, texts))
     of = connected_components(links).withColumnRenamed("node", "fp")
     own = cut(classes.select("fp", "size", "sketch", "bands").join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    return links.unionByName(_alike(cross_pairs(own, group), classes, texts))
+    return links.unionByName(_alike(cross_pairs(held.select("band", "fp"), own, group), classes, texts))
 
 
 def labelled(marked: DataFrame, links: DataFrame) -> DataFrame:
