@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..lineage import cut
 from . import aggregates as ag
+from . import distil
 from . import joins as jn
 
 HEAVIEST = 0.6
@@ -52,15 +55,41 @@ def shared_tags(tags: DataFrame, most_nodes: int | None = None) -> DataFrame:
     return pairs.select("a", "b", F.lit("tagged").alias("relation"), F.least(F.lit(HEAVIEST), 0.3 + 0.1 * F.col("n")).alias("weight"))
 
 
-def topic_overlap(nodes: DataFrame, rare: int, floor: float = 0.3) -> DataFrame:
-    """Nodes that share at least two rare words, weighted by their likeness; floor or the robust threshold, if higher."""
-    words = nodes.select("node_id", F.explode(tx.content_tokens(F.col("content"))).alias("token"))
-    sizes = words.groupBy("node_id").agg(F.count("*").alias("size"))
-    few = words.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("token")
-    pairs = jn.pairs_sharing(words.join(few, "token", "left_semi"), "token", "node_id", 2)
-    scored = pairs.join(sizes.withColumnsRenamed({"node_id": "a", "size": "sa"}), "a").join(sizes.withColumnsRenamed({"node_id": "b", "size": "sb"}), "b").withColumn("weight", F.col("n") / (F.col("sa") + F.col("sb") - F.col("n")))
-    tau = ag.mad_threshold(scored, "weight").select("tau")
-    return scored.crossJoin(F.broadcast(tau)).where(F.col("weight") >= F.greatest(F.lit(floor), F.coalesce("tau", F.lit(floor)))).select("a", "b", F.lit("topic_overlap").alias("relation"), "weight")
+def topic_overlap(nodes: DataFrame, synonyms: Mapping[str, Sequence[str]], floor: float = 0.3) -> DataFrame:
+    """Nodes that share at least two canonical words and are alike by floor or the robust threshold of all such pairs, if that is higher.
+
+    Pairs alike by the floor share one of the rarest words of each (the first n - ceil(floor n) + 1 of n), so only those
+    are formed. The threshold lies above the floor only if over half of all pairs with two words in common do.
+    That can't be if the nodes with the two most frequent words alone make too many pairs; else all pairs are counted."""
+    sets = cut(nodes.select("node_id", distil.canonical_tokens(F.col("content"), synonyms).alias("words")).where("size(words) > 0"))
+    words = sets.select("node_id", F.explode("words").alias("token"))
+    seen = cut(words.groupBy("token").agg(F.count("*").alias("df")))
+    ranked = words.join(seen, "token").groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_r"))
+    ranked = cut(ranked.select("node_id", F.size("_r").alias("size"), F.transform("_r", lambda x: x["token"]).alias("words")))
+    first = ranked.select("node_id", "size", F.explode(F.slice("words", 1, (F.col("size") - F.ceil(floor * F.col("size") - 1e-9) + 1).cast("int"))).alias("token"))
+    of = lambda k: first.select("token", F.col("node_id").alias(k), F.col("size").alias(f"s{k}"))
+    pairs = of("a").join(of("b"), "token").where("a < b").where(F.least("sa", "sb") >= floor * F.greatest("sa", "sb") - 1e-9).select("a", "b").distinct()
+    side = lambda k: ranked.select(F.col("node_id").alias(k), F.col("words").alias(f"w{k}"))
+    shared = F.size(F.array_intersect("wa", "wb"))
+    strong = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", shared.alias("n"), (F.size("wa") + F.size("wb")).alias("s"))
+    strong = cut(strong.where("n >= 2").select("a", "b", (F.col("n") / (F.col("s") - F.col("n"))).alias("weight")).where(F.col("weight") >= floor))
+    tau = floor
+    if _pairs_at_least(sets, seen) < 2 * strong.count():
+        both = jn.pairs_sharing(words, "token", "node_id", 2)
+        size = lambda k: ranked.select(F.col("node_id").alias(k), F.col("size").alias(f"s{k}"))
+        every = cut(both.join(size("a"), "a").join(size("b"), "b").select((F.col("n") / (F.col("sa") + F.col("sb") - F.col("n"))).alias("weight")))
+        tau = max(floor, ag.mad_threshold(every, "weight").first()["tau"] or floor)
+    return strong.where(F.col("weight") >= tau).select("a", "b", F.lit("topic_overlap").alias("relation"), "weight")
+
+
+def _pairs_at_least(sets: DataFrame, seen: DataFrame) -> int:
+    """How many pairs share two words at least: those of the nodes with the most frequent word and the one most frequent beside it."""
+    top = seen.orderBy(F.desc("df"), "token").first()
+    if top is None:
+        return 0
+    beside = sets.where(F.array_contains("words", top["token"])).select(F.explode("words").alias("token")).where(F.col("token") != top["token"])
+    n = beside.groupBy("token").count().agg(F.max("count")).first()[0] or 0
+    return n * (n - 1) // 2
 
 
 def co_retrieved(pairs: DataFrame, members: DataFrame, least: int = 2) -> DataFrame:
@@ -187,37 +216,3 @@ def bridges_by_likeness(bits: DataFrame, threshold: float = 0.7, block: int = 40
     other = met.join(of("a"), "pa").join(of("b"), "pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
     twins = of("a").join(of("b"), F.col("pa") == F.col("pb")).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
     return twins.unionByName(other)
-
-
-def capped(edges: DataFrame, most: int, rounds: int = 100) -> DataFrame:
-    """Greedy degree cap: edges (layer, source_id, target_id, weight) by weight, then ends, are kept while both ends have fewer than `most`.
-
-    In each round the undecided edges that come first at both of their ends, among as many as those still have room
-    for, are kept: whatever comes before them is decided. Edges of full nodes go. That is what the pass one by one
-    gives, in joins and windows by node. Raises if it takes too many rounds."""
-    spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
-    key = ["layer", "source_id", "target_id"]
-    left = cut(edges.select(*key, F.col("weight").cast("double").alias("weight")).dropDuplicates(key))
-    kept = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        ends = left.select("*", F.explode(F.array("source_id", "target_id")).alias("_end"))
-        if kept is not None:
-            used = kept.select("layer", F.explode(F.array("source_id", "target_id")).alias("_end")).groupBy("layer", "_end").agg(F.count("*").alias("_used"))
-            ends = ends.join(used, ["layer", "_end"], "left")
-        else:
-            ends = ends.withColumn("_used", F.lit(0))
-        w = Window.partitionBy("layer", "_end").orderBy(F.desc("weight"), "source_id", "target_id")
-        ends = ends.withColumn("_room", most - F.coalesce("_used", F.lit(0))).withColumn("_k", F.row_number().over(w))
-        state = cut(ends.groupBy(*key, "weight").agg(F.bool_and(F.col("_k") <= F.col("_room")).alias("_in"), F.bool_or(F.col("_room") <= 0).alias("_out")))
-        new = state.where("_in and not _out").select(*key, "weight")
-        kept = cut(new if kept is None else kept.unionByName(new))
-        left = cut(state.where("not _in and not _out").select(*key, "weight"))
-    else:
-        raise RuntimeError("too many rounds")
-    return kept if kept is not None else left

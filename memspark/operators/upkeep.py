@@ -21,14 +21,15 @@ DAY = 86_400
 def save_facts(current: DataFrame, saves: DataFrame, kinds: DataFrame, keys: list[str], ttl_days: int = 30) -> dict[str, DataFrame]:
     """current and saves: keys, value, importance, memory_kind, expires_at, visibility, at; saves may leave all but keys, value
     and at null. What is left out takes the kind's default importance, `ttl_days` for kinds that need an expiry, and the
-    visibility of the row replaced. Of saves of one key at once the latest at counts as the new row, each is a change.
+    visibility of the row replaced. Of saves of one key the latest counts as the new row (at one time: by value, importance, kind, expiry, visibility), each is a change.
 
     Returns facts (the next version), history (old and new value of each change) and intervals (closed where the next opens)."""
     s = saves.withColumn("memory_kind", F.coalesce("memory_kind", F.lit("fact"))).join(kinds, "memory_kind", "left")
     s = s.withColumn("importance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("importance", "default_importance", F.lit(0.5)))))
     s = s.withColumn("expires_at", F.coalesce("expires_at", F.when(F.col("needs_expiry"), F.col("at") + ttl_days * DAY))).select(*current.columns)
     both = current.withColumn("_new", F.lit(0)).unionByName(s.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy("at", "_new", "value")
+    # A total order, so that saves of one time follow each other alike whatever the partitions.
+    w = Window.partitionBy(*keys).orderBy("at", "_new", "value", "importance", "memory_kind", "expires_at", "visibility")
     chain = both.withColumn("visibility", F.last("visibility", ignorenulls=True).over(w)).withColumn("visibility", F.coalesce("visibility", F.lit("visible")))
     chain = chain.withColumn("old_value", F.lag("value").over(w)).withColumn("valid_to", F.lead("at").over(w))
     history = chain.where("_new = 1").select(*keys, "old_value", F.col("value").alias("new_value"), "at", F.when(F.col("old_value").isNull(), "created").otherwise("updated").alias("change"))
@@ -268,11 +269,10 @@ def provenance_edges(facts: DataFrame) -> DataFrame:
 
 def shared_entities(nodes: DataFrame, entities: Sequence[str], most: int = 12) -> DataFrame:
     """nodes (layer, node_id, words): co_mentions edges between nodes that share one of the entities, `most` for each node in order."""
-    from .graph import capped
+    from .caps import capped_groups
 
-    held = nodes.select("layer", "node_id", F.explode(F.array_intersect("words", F.array(*map(F.lit, entities)))).alias("entity"))
-    pairs = held.select("layer", "entity", F.col("node_id").alias("source_id")).join(held.select("layer", "entity", F.col("node_id").alias("target_id")), ["layer", "entity"]).where("source_id < target_id").select("layer", "source_id", "target_id").distinct()
-    return capped(pairs.withColumn("weight", F.lit(0.4)), most)
+    held = nodes.select("layer", "node_id", F.explode(F.array_intersect("words", F.array(*map(F.lit, entities)))).alias("group"))
+    return capped_groups(held, most).withColumn("weight", F.lit(0.4))
 
 
 def tool_triplets(pairs: DataFrame) -> DataFrame:

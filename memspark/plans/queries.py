@@ -410,14 +410,14 @@ def shared_tags(spark, d):
     return gr.shared_tags(ad.tags(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-@query("topic_overlap", f"""WITH n AS (SELECT id, list_filter({_TOKENS.format(c='text')}, lambda x: NOT list_contains([{_STOP}], x)) AS t FROM (SELECT conv_id * 1000 + turn AS id, text FROM conversations)),
-w AS (SELECT id, unnest(t) AS token FROM n), s AS (SELECT id, count(*) AS size FROM w GROUP BY id), f AS (SELECT token FROM w GROUP BY token HAVING count(*) <= 20), r AS (SELECT w.* FROM w SEMI JOIN f ON w.token = f.token),
-p AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM r x JOIN r y ON x.token = y.token AND x.id::varchar < y.id::varchar GROUP BY ALL HAVING count(*) >= 2),
+@query("topic_overlap", f"""WITH n AS (SELECT id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[\\pL\\pN]+'), lambda x: length(x) >= 4 AND NOT list_contains([{_STOP}], x)), lambda x: CASE WHEN x = 'thre' THEN 'ther' ELSE x END)) AS t FROM (SELECT conv_id * 1000 + turn AS id, text FROM conversations)),
+w AS (SELECT id, unnest(t) AS token FROM n), s AS (SELECT id, count(*) AS size FROM w GROUP BY id),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM w x JOIN w y ON x.token = y.token AND x.id::varchar < y.id::varchar GROUP BY ALL HAVING count(*) >= 2),
 j AS (SELECT a, b, n / (sa.size + sb.size - n) AS weight FROM p JOIN s sa ON sa.id = a JOIN s sb ON sb.id = b), m AS (SELECT median(weight) AS m FROM j), t AS (SELECT any_value(m) - 1.5::double * median(abs(weight - m)) AS tau FROM j, m)
-SELECT a::varchar AS a, b::varchar AS b, round(weight, 6) AS weight FROM j, t WHERE weight >= greatest(0.02::double, coalesce(tau, 0.02::double))""")
+SELECT a::varchar AS a, b::varchar AS b, round(weight, 6) AS weight FROM j, t WHERE weight >= greatest(0.3::double, coalesce(tau, 0.3::double))""")
 def topic_overlap(spark, d):
     n = ad.journal(spark, d).select(F.col("id").cast("string").alias("node_id"), F.col("text").alias("content"))
-    return gr.topic_overlap(n, 20, 0.02).select("a", "b", F.round("weight", 6).alias("weight"))
+    return gr.topic_overlap(n, {"ther": ["thre"]}).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 @query("co_retrieved", with_sql(", x AS (SELECT DISTINCT l_orderkey, 'p' || l_partkey::varchar AS p FROM lineitem), c AS (SELECT a.p AS a, b.p AS b, count(*) AS n FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.p < b.p GROUP BY ALL HAVING count(*) >= 2) SELECT a, b, round(least(0.6::double, 0.3::double + 0.1::double * n), 6) AS weight FROM c SEMI JOIN nodes x ON c.a = x.node_id SEMI JOIN nodes y ON c.b = y.node_id", "nodes"))

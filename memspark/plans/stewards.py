@@ -222,7 +222,7 @@ def led_to_neighbours(spark, d):
 _SAVES = f"""cur AS (SELECT user_id, key, value, importance, memory_kind, created_at + 5 * {DAY} AS expires_at, CASE WHEN entry_id % 3 = 0 THEN 'pinned' ELSE 'visible' END AS visibility, created_at AS "at" FROM facts WHERE created_at <= {THEN} QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY created_at DESC, entry_id DESC) = 1),
 sv AS (SELECT user_id, key, value, entry_id, CASE WHEN entry_id % 2 = 0 THEN importance * 2 END AS importance, CASE WHEN entry_id % 5 > 0 THEN memory_kind END AS memory_kind, created_at AS "at" FROM facts WHERE created_at > {THEN}),
 s2 AS (SELECT sv.user_id, sv.key, sv.value, least(1, greatest(0, coalesce(sv.importance, k.default_importance, 0.5))) AS importance, k.memory_kind, CASE WHEN k.needs_expiry THEN "at" + 30 * {DAY} END AS expires_at, NULL AS visibility, "at" FROM sv JOIN kinds k ON coalesce(sv.memory_kind, 'fact') = k.memory_kind),
-b AS (SELECT *, 0 AS new FROM cur UNION ALL SELECT *, 1 FROM s2), ch AS (SELECT *, coalesce(last_value(visibility IGNORE NULLS) OVER w, 'visible') AS vis, lag(value) OVER w AS old_value, lead("at") OVER w AS valid_to FROM b WINDOW w AS (PARTITION BY user_id, key ORDER BY "at", new, value))"""
+b AS (SELECT *, 0 AS new FROM cur UNION ALL SELECT *, 1 FROM s2), ch AS (SELECT *, coalesce(last_value(visibility IGNORE NULLS) OVER w, 'visible') AS vis, lag(value) OVER w AS old_value, lead("at") OVER w AS valid_to FROM b WINDOW w AS (PARTITION BY user_id, key ORDER BY "at", new, value, importance NULLS FIRST, memory_kind NULLS FIRST, expires_at NULLS FIRST, visibility NULLS FIRST))"""
 
 
 def _saved(spark, d):
@@ -559,11 +559,17 @@ def largest_communities(spark, d):
     return c.where("n >= 3").orderBy(F.desc("n"), "first").limit(10)
 
 
-@query("capped_entities", None)
+_ENTITIES = ["small", "blue", "gear"]
+
+
+@query("capped_entities", with_sql(f""", h AS (SELECT node_id, list_intersect(string_split(content, ' '), {_ENTITIES}) AS e FROM nodes), n AS (SELECT node_id, e, row_number() OVER (ORDER BY node_id) AS i FROM h WHERE len(e) > 0),
+l AS (SELECT count(*) AS n, list(e ORDER BY i) AS es FROM n), r AS (SELECT 0::bigint AS a, list_transform(es, lambda x: 0) AS deg, []::bigint[] AS sel FROM l
+UNION ALL SELECT a, list_transform(range(1, n + 1), lambda i: deg[i] + list_contains(sel, i)::int + CASE WHEN i = a THEN len(sel) ELSE 0 END), sel FROM (SELECT r.a + 1 AS a, r.deg, l.n,
+  list_slice(list_filter(range(r.a + 2, l.n + 1), lambda b: r.deg[b] < 12 AND list_has_any(es[r.a + 1], es[b])), 1, greatest(12 - r.deg[r.a + 1], 0)) AS sel FROM r, l WHERE r.a < l.n))
+SELECT x.node_id AS source_id, y.node_id AS target_id, 0.4::double AS weight FROM (SELECT a, unnest(sel) AS b FROM r) JOIN n x ON x.i = a JOIN n y ON y.i = b""", "nodes", recursive=True))
 def capped_entities(spark, d):
-    """Checked against a plain loop in the tests."""
-    n = ad.nodes(spark, d).where("node_type <> 'supplier'").select("layer", "node_id", F.split("content", " ").alias("words"))
-    return up.shared_entities(n, ["small", "blue", "gear"], 12).select("source_id", "target_id", "weight")
+    n = ad.nodes(spark, d).select("layer", "node_id", F.split("content", " ").alias("words"))
+    return up.shared_entities(n, _ENTITIES, 12).select("source_id", "target_id", "weight")
 
 
 # -- vectors and the rest -----------------------------------------------------------------

@@ -2,12 +2,15 @@
 
 import random
 import statistics
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from memspark.functions import scoring as sc
 from memspark.operators import aggregates as ag
+from memspark.operators import caps
 from memspark.operators import graph as gr
 from memspark.operators import lifecycle as lc
 from memspark.operators import privacy as pv
@@ -30,16 +33,62 @@ def test_fading_threshold_of_a_very_long_key(spark):
     assert all(r.passes == (r.s >= r.threshold) for r in got)
 
 
-def test_degree_caps_are_those_of_one_pass(spark):
-    rng = random.Random(2)
-    rows = {(rng.choice("xy"), f"n{rng.randrange(12)}", f"m{rng.randrange(12)}"): rng.choice([0.1, 0.2, 0.3]) for _ in range(200)}
-    got = gr.capped(spark.createDataFrame([(*k, w) for k, w in rows.items()], "layer string, source_id string, target_id string, weight double"), 3).collect()
+def one_pass(rows, most):
+    """rows: {(layer, a, b): weight}"""
     used, want = {}, set()
     for (layer, a, b), _ in sorted(rows.items(), key=lambda r: (-r[1], r[0])):
-        if used.get((layer, a), 0) < 3 and used.get((layer, b), 0) < 3:
+        if used.get((layer, a), 0) < most and used.get((layer, b), 0) < most:
             used[layer, a], used[layer, b] = used.get((layer, a), 0) + 1, used.get((layer, b), 0) + 1
             want.add((layer, a, b))
-    assert {(r.layer, r.source_id, r.target_id) for r in got} == want
+    return want
+
+
+@pytest.mark.parametrize("limit", [1000, 60, 15])
+def test_degree_caps_are_those_of_one_pass(spark, limit):
+    rng = random.Random(2)
+    rows = {(rng.choice("xy"), f"n{rng.randrange(12)}", f"m{rng.randrange(12)}"): rng.choice([0.1, 0.2, 0.3]) for _ in range(200)}
+    rows |= {("z", f"c{i:02}", f"c{j:02}"): 0.4 for i in range(14) for j in range(i + 1, 14)}
+    schema = "layer string, source_id string, target_id string, weight double"
+    got = caps.capped(spark.createDataFrame([(*k, w) for k, w in rows.items()], schema), 3, limit).collect()
+    assert {(r.layer, r.source_id, r.target_id) for r in got} == one_pass(rows, 3)
+    assert caps.capped(spark.createDataFrame([], schema), 3).count() == 0
+
+
+@pytest.mark.parametrize(("chunk", "most"), [(1000, 3), (7, 3), (1, 2), (20, 12)])
+def test_caps_of_groups_are_those_of_all_their_pairs(spark, chunk, most):
+    rng = random.Random(chunk)
+    held = {(rng.choice("xy"), f"n{i:02}"): rng.sample("abcdef", rng.randrange(0, 4)) for i in range(60)}
+    pairs = {(la, a, b): 0.4 for (la, a), x in held.items() for (lb, b), y in held.items() if la == lb and a < b and set(x) & set(y)}
+    members = spark.createDataFrame([(*k, g) for k, gs in held.items() for g in [*gs, None, *gs[:1]]], "layer string, node_id string, group string")
+    got = [tuple(r) for r in caps.capped_groups(members, most, chunk).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == one_pass(pairs, most)
+
+
+def test_a_group_of_very_many_nodes_forms_no_pairs(spark):
+    began = time.monotonic()
+    members = spark.range(5000).select(F.lit("user").alias("layer"), F.format_string("n%05d", "id").alias("node_id"), F.lit("e").alias("group"))
+    got = [(r.source_id, r.target_id) for r in caps.capped_groups(members, 12, 2000).collect()]
+    assert time.monotonic() - began < 60
+    # In the order of names blocks of 13 nodes fill each other.
+    assert set(got) == {(f"n{a:05}", f"n{b:05}") for a in range(5000) for b in range(a + 1, min(5000, a - a % 13 + 13))}
+
+
+def test_topic_overlap_equals_all_pairs(spark):
+    rng = random.Random(6)
+    for common in (0, 3):
+        texts = {f"n{i}": [f"word{rng.randrange(25)}" for _ in range(rng.randrange(1, 9))] + [f"often{k}" for k in range(common)] for i in range(60)}
+        texts["alias"] = ["petit", "word1", "word2"]
+        texts["named"] = ["small", "word1", "word2"]
+        syn = {"small": ["petit"]}
+        words = {k: {"petit" if w == "small" else w for w in v} for k, v in texts.items()}
+        likes = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a in words for b in words if a < b and len(words[a] & words[b]) >= 2}
+        middle = statistics.median(likes.values())
+        tau = max(0.3, middle - 1.5 * statistics.median(abs(v - middle) for v in likes.values()))
+        nodes = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()] + [("none", None)], "node_id string, content string")
+        got = {(r.a, r.b): r.weight for r in gr.topic_overlap(nodes, syn).collect()}
+        assert got == pytest.approx({k: v for k, v in likes.items() if v >= tau})
+        assert got
 
 
 def test_shared_entities_are_capped(spark, sf_dir):

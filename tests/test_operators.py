@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import scoring as sc
 from memspark.functions import text as tx
+from memspark.operators import caps
 from memspark.operators import filters as fl
 from memspark.operators import graph as gr
 from memspark.operators import joins as jn
@@ -51,7 +52,7 @@ def test_co_retrieval_needs_two_and_members(spark):
 def test_degree_cap_is_greedy(spark):
     e = [("user", "a", "b", 0.9), ("user", "a", "c", 0.8), ("user", "b", "c", 0.7), ("user", "c", "d", 0.6), ("agent", "a", "c", 0.1)]
     df = spark.createDataFrame(e, "layer string, source_id string, target_id string, weight double")
-    got = {(r.layer, r.source_id, r.target_id) for r in gr.capped(df, 1).collect()}
+    got = {(r.layer, r.source_id, r.target_id) for r in caps.capped(df, 1).collect()}
     assert got == {("user", "a", "b"), ("user", "c", "d"), ("agent", "a", "c")}
 
 
@@ -156,13 +157,3 @@ def test_upsert_delete_purge_and_feedback(spark):
     assert [r.entry_id for r in lc.purge_since(f, 1).collect()] == [1]
     votes = spark.createDataFrame([(1, True), (1, True), (2, False)], "entry_id long, useful boolean")
     assert {r.entry_id: round(r.importance, 6) for r in lc.feedback(f, votes).collect()} == {1: 0.6, 2: 0.05}
-
-
-def test_likeness_in_bands_equals_all_pairs_that_share_one(spark):
-    rng = random.Random(5)
-    base = [rng.getrandbits(64) for _ in range(5)]
-    vals = [b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(8)]
-    signed = [v - 2**64 if v >= 2**63 else v for v in vals]
-    got = {(r.a, r.b) for r in gr.bridges_by_likeness(spark.createDataFrame(list(enumerate(signed)), "vec_id int, bits long"), 0.7).collect()}
-    alike = lambda x, y: (x & y).bit_count() / (x | y).bit_count() >= 0.7 and any((x >> 8 * i) & 255 == (y >> 8 * i) & 255 for i in range(8))
-    assert got == {(i, j) for j in range(len(vals)) for i in range(j) if alike(vals[i], vals[j])}
