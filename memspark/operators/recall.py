@@ -14,6 +14,7 @@ from ..functions import text as tx
 from ..functions.policy import kind_weight
 from . import filters as fl
 from . import joins as jn
+from . import matching as mt
 from . import windows as wn
 
 # How much an intent lifts or lowers a source; what a hit by a synonym counts; what a superseded name leaves.
@@ -26,37 +27,48 @@ def weight_of(intent: str, source: str) -> float:
     return INTENTS[intent].get(source, 1.0)
 
 
-def _asked(queries: DataFrame, words: Column) -> DataFrame:
-    """One row, all words of all queries with their query: a query set is a bounded table."""
-    return F.broadcast(queries.select("query_id", F.explode(words).alias("word")))
+def _hits(rows: DataFrame, asked: DataFrame, ident: str, hay: Column) -> DataFrame:
+    """query_id and ident of the rows whose text holds a word of a query. asked: query_id, pattern. Texts pass one automaton."""
+    narrow = rows.select(ident, F.lower(hay).alias("_hay"))
+    return mt.occurrences(narrow, [ident], "_hay", asked).select(ident, "pattern").join(asked, "pattern").select("query_id", ident).distinct()
 
 
-def _found(rows: DataFrame, queries: DataFrame, hay: Column, least: int = 3) -> DataFrame:
+def _words(queries: DataFrame, words: Column) -> DataFrame:
+    return queries.select("query_id", F.explode(words).alias("pattern")).distinct()
+
+
+def _found(rows: DataFrame, queries: DataFrame, ident: str, hay: Column, least: int = 3) -> DataFrame:
     words = F.filter(F.split(F.lower("query"), " "), lambda w: F.length(w) >= least)
-    return rows.join(_asked(queries, words), F.contains(hay, F.col("word")), "inner").drop("word").distinct()
+    return _hits(rows, _words(queries, words), ident, hay).join(rows, ident)
+
+
+def _lifted(found: DataFrame, active: Column) -> DataFrame:
+    """found with _lift: the activation scaled to 1.0 to 1.3 among a query's hits, whose bounds are pre-aggregated."""
+    rows = found.withColumn("_a", active)
+    bounds = rows.groupBy("query_id").agg(F.min("_a").alias("_low"), F.max("_a").alias("_high"))
+    span = F.col("_high") - F.col("_low")
+    return rows.join(bounds, "query_id").withColumn("_lift", F.when(span < 1e-12, 1.0).otherwise(1.0 + 0.3 * (F.col("_a") - F.col("_low")) / span)).drop("_a", "_low", "_high")
 
 
 def core_source(facts: DataFrame, queries: DataFrame, uses: DataFrame, now: int, intent: str = "balanced") -> DataFrame:
     """Facts (entry_id, key, value, importance, memory_kind, created_at) with a word of the query: importance x intent x
     kind x use. uses (entry_id, n, last_ts) counts how often each was of use; the activation this gives is scaled to
     1.0..1.3 among a query's hits."""
-    found = _found(facts, queries, F.lower(F.concat_ws(" ", "key", "value"))).join(uses, "entry_id", "left")
-    active = sc.actr(F.lit(now), F.coalesce("last_ts", "created_at"), F.coalesce("n", F.lit(0)))
-    lift = sc.minmax(active, Window.partitionBy("query_id"), 1.0, 1.3, 1.0)
-    score = F.col("importance") * weight_of(intent, "core") * kind_weight(F.col("memory_kind")) * lift
+    found = _found(facts, queries, "entry_id", F.concat_ws(" ", "key", "value")).join(uses, "entry_id", "left")
+    found = _lifted(found, sc.actr(F.lit(now), F.coalesce("last_ts", "created_at"), F.coalesce("n", F.lit(0))))
+    score = F.col("importance") * weight_of(intent, "core") * kind_weight(F.col("memory_kind")) * F.col("_lift")
     return found.select("query_id", F.lit("core").alias("source"), F.col("entry_id").alias("native_id"), F.col("value").alias("content"), score.alias("score"), "created_at")
 
 
 def episode_source(episodes: DataFrame, queries: DataFrame, now: int, intent: str = "balanced") -> DataFrame:
     """Episodes (episode_id, summary, weight, created_at) with a word of the query: weight x intent x recency of one use."""
-    found = _found(episodes, queries, F.lower("summary"))
-    lift = sc.minmax(sc.actr(F.lit(now), F.col("created_at"), F.lit(1)), Window.partitionBy("query_id"), 1.0, 1.3, 1.0)
-    return found.select("query_id", F.lit("episodic").alias("source"), F.col("episode_id").alias("native_id"), F.col("summary").alias("content"), (F.col("weight") * weight_of(intent, "episodic") * lift).alias("score"), "created_at")
+    found = _lifted(_found(episodes, queries, "episode_id", F.col("summary")), sc.actr(F.lit(now), F.col("created_at"), F.lit(1)))
+    return found.select("query_id", F.lit("episodic").alias("source"), F.col("episode_id").alias("native_id"), F.col("summary").alias("content"), (F.col("weight") * weight_of(intent, "episodic") * F.col("_lift")).alias("score"), "created_at")
 
 
 def graph_source(nodes: DataFrame, queries: DataFrame, intent: str = "balanced") -> DataFrame:
     """Nodes (node_id, content, confidence, created_at) that hold the whole query."""
-    met = nodes.join(F.broadcast(queries), F.contains(F.lower("content"), F.lower("query")))
+    met = _hits(nodes, _words(queries, F.array(F.lower("query"))), "node_id", F.col("content")).join(nodes, "node_id")
     return met.select("query_id", F.lit("graph").alias("source"), F.col("node_id").alias("native_id"), "content", (F.col("confidence") * weight_of(intent, "graph")).alias("score"), "created_at")
 
 
@@ -68,7 +80,7 @@ def entity_source(nodes: DataFrame, queries: DataFrame, synonyms: Mapping[str, S
         return graph_source(nodes, queries).limit(0)
     table = F.create_map(*[x for k, v in members.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     words = F.array_distinct(F.flatten(F.filter(F.transform(tx.tokens(F.col("query"), 4), lambda w: table[w]), lambda v: v.isNotNull())))
-    met = nodes.join(_asked(queries, words), F.contains(F.lower("content"), F.col("word"))).drop("word").distinct()
+    met = _hits(nodes, _words(queries, words), "node_id", F.col("content")).join(nodes, "node_id")
     return met.select("query_id", F.lit("entities").alias("source"), F.col("node_id").alias("native_id"), "content", F.lit(ENTITY_SCORE * weight_of(intent, "entities")).alias("score"), "created_at")
 
 

@@ -70,16 +70,23 @@ def core_hits(facts: DataFrame, queries: DataFrame, weight: float = 1.0) -> Data
     """Facts with a word of the query: importance x intent x kind."""
     from ..functions.policy import kind_weight
 
-    q = queries.select("query_id", F.explode(F.split(F.lower("query"), " ")).alias("word")).where(F.length("word") >= 3)
-    hay = F.lower(F.concat_ws(" ", "key", "value"))
-    hit = facts.join(F.broadcast(q), F.contains(hay, F.col("word")), "inner").groupBy("query_id", "entry_id").agg(F.max(F.col("importance") * weight * kind_weight(F.col("memory_kind"))).alias("score"), F.max("created_at").alias("created_at"))
-    return hit.select("query_id", F.lit("core").alias("source"), F.col("entry_id").alias("native_id"), "score", "created_at")
+    hit = _holding(facts, queries, "entry_id", F.concat_ws(" ", "key", "value")).join(facts.select("entry_id", "importance", "memory_kind", "created_at"), "entry_id")
+    score = F.col("importance") * weight * kind_weight(F.col("memory_kind"))
+    return hit.select("query_id", F.lit("core").alias("source"), F.col("entry_id").alias("native_id"), score.alias("score"), "created_at")
 
 
 def episode_hits(episodes: DataFrame, queries: DataFrame, weight: float = 1.0) -> DataFrame:
-    q = queries.select("query_id", F.explode(F.split(F.lower("query"), " ")).alias("word")).where(F.length("word") >= 3)
-    hit = episodes.join(F.broadcast(q), F.contains(F.lower("summary"), F.col("word")), "inner").groupBy("query_id", "episode_id").agg((F.max("weight") * weight).alias("score"), F.max("created_at").alias("created_at"))
-    return hit.select("query_id", F.lit("episodic").alias("source"), F.col("episode_id").alias("native_id"), "score", "created_at")
+    hit = _holding(episodes, queries, "episode_id", F.col("summary")).join(episodes.select("episode_id", "weight", "created_at"), "episode_id")
+    return hit.select("query_id", F.lit("episodic").alias("source"), F.col("episode_id").alias("native_id"), (F.col("weight") * weight).alias("score"), "created_at")
+
+
+def _holding(rows: DataFrame, queries: DataFrame, ident: str, hay: Column) -> DataFrame:
+    """query_id and ident of the rows whose text holds a word of three letters or more of a query; texts pass one automaton."""
+    from .matching import occurrences
+
+    asked = queries.select("query_id", F.explode(F.split(F.lower("query"), " ")).alias("pattern")).where(F.length("pattern") >= 3).distinct()
+    found = occurrences(rows.select(ident, F.lower(hay).alias("_hay")), [ident], "_hay", asked)
+    return found.select(ident, "pattern").join(asked, "pattern").select("query_id", ident).distinct()
 
 
 def recall(sources: list[DataFrame], now: int, limit: int = 10) -> DataFrame:

@@ -1,3 +1,3 @@
 """Named queries: importing the package registers them all."""
 
-from . import distil, queries, stewards, walks  # noqa: F401
+from . import distil, queries, rules, stewards, walks  # noqa: F401

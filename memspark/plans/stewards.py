@@ -72,7 +72,7 @@ def overdue_rows(spark, d):
 # -- recall -------------------------------------------------------------------------------
 
 _NODES = f"nx AS (SELECT node_id, layer, content, node_type, length(content) / 60 AS confidence, {NOW} - length(content) * {DAY} AS created_at FROM nodes)"
-ASKS = [("a1", "small urgent in"), ("a2", "list all promo"), ("a3", "почему blue and urgent supplier xyzzy"), ("a4", "low specified")]
+ASKS = [("a1", "small urgent in"), ("a2", "list all promo"), ("a3", "почему blue and urgent supplier xyzzy"), ("a4", "low specified"), ("a5", "Supplier#0000000")]
 _ASKS = "asks AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ASKS) + ") t(query_id, query))"
 SYN = {"small": ["petit", "tiny"], "blue": ["azure"]}
 RENAMED = {"urgent": "pressing", "high": "urgent"}
@@ -91,7 +91,7 @@ def _hits(spark, d, intent):
     uses = ad.audit(spark, d).where("action = 'click'").groupBy(F.col("log_id").alias("entry_id")).agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
     core = rc.core_source(ad.facts(spark, d), q, uses, NOW, intent)
     epi = rc.episode_source(ad.episodes(spark, d), q, NOW, intent)
-    return [core, epi, rc.graph_source(nodes, q.select("query_id", F.split("query", " ")[0].alias("query")), intent), rc.entity_source(nodes, q, SYN, intent)]
+    return [core, epi, rc.graph_source(nodes, q, intent), rc.entity_source(nodes, q, SYN, intent)]
 
 
 _ACT = "CASE WHEN {n} <= 0 THEN 0 ELSE greatest(0, least(1, 1 - exp(-(ln(1 + {n}) - 0.5::double * ln(1 + greatest({now} - {last}, 0)))))) END"
@@ -107,7 +107,7 @@ c1 AS (SELECT c0.*, {_ACT.format(n="coalesce(n, 0)", now=NOW, last="coalesce(las
 core AS (SELECT query_id, 'core' AS source, entry_id::varchar AS native_id, value AS content, importance * {w("core")} * CASE WHEN memory_kind IN ('instruction', 'rule', 'commitment') THEN 1.1 ELSE 1 END * {lift("act")} AS score, created_at FROM c1),
 e0 AS (SELECT DISTINCT query_id, episode_id, summary, weight, created_at FROM episodes JOIN words ON contains(lower(summary), word)), e1 AS (SELECT *, {_ACT.format(n="1", now=NOW, last="created_at")} AS act FROM e0),
 epi AS (SELECT query_id, 'episodic' AS source, episode_id::varchar AS native_id, summary AS content, weight * {w("episodic")} * {lift("act")} AS score, created_at FROM e1),
-graph AS (SELECT query_id, 'graph' AS source, node_id AS native_id, content, confidence * {w("graph")} AS score, created_at FROM nx JOIN asks ON contains(lower(content), split_part(query, ' ', 1))),
+graph AS (SELECT query_id, 'graph' AS source, node_id AS native_id, content, confidence * {w("graph")} AS score, created_at FROM nx JOIN asks ON contains(lower(content), lower(query))),
 members AS (SELECT 'a3' AS query_id, unnest(['azure', 'blue']) AS word UNION ALL SELECT 'a1', unnest(['petit', 'small', 'tiny'])),
 ent AS (SELECT DISTINCT query_id, 'entities' AS source, node_id AS native_id, content, {rc.ENTITY_SCORE * rc.weight_of(intent, "entities")}::double AS score, created_at FROM nx JOIN members ON contains(lower(content), word)),
 alls AS (SELECT * FROM core UNION ALL SELECT * FROM epi UNION ALL SELECT * FROM graph UNION ALL SELECT * FROM ent)"""
