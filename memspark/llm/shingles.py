@@ -6,8 +6,8 @@ reaches, so candidates come from minima, too: a class emits BANDS hashes, each o
 under random orders; two classes of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS,
 which is 0.999997 at 0.8 and more above. Candidates are compared first with the smallest class of each of their bands. Then
 only bands that still hold several components matter. Of one with GROUP classes at most all pairs of classes of
-different components are compared. A larger one is split by each further band of its classes, so that
-only classes that share two bands meet, and once more into those that share three (at similarity 0.8 they do with
+different components are compared. Of a larger one, only classes that share a second band meet (in that band, if it is small, else in
+the pair of both), and of large pairs those that share three (at similarity 0.8 they do with
 0.99995 and 0.9996, at 0.85 with less than one in 1,000,000 missing). So pairs follow the classes and not the squares of groups
 that only share a passage.
 
@@ -30,7 +30,7 @@ from .simhash import fingerprint_of, variant_links
 SEED, SHINGLE_WORDS, LEAST = 42, 5, 0.8
 BANDS, ROWS = 32, 5
 #: Bits of a minimum in a sketch; estimate from which on whole sets are compared; classes of a band that are compared pair by pair; bands that a pair shares at most to meet.
-BITS, LIKELY, GROUP, DEEPEST = 4, 0.6, 64, 3
+BITS, LIKELY, GROUP, DEEPEST = 4, 0.6, 256, 3
 #: Texts to compare up to which their names are broadcast.
 BROADCAST_TEXTS = 1_000_000
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
@@ -140,26 +140,42 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(cut(keys.select("key", "n", F.col("most.component").alias("base"))), "key")
 
 
+def _combined(large: DataFrame, hot: DataFrame, shared: int) -> DataFrame:
+    """Rows (key, fp, component) for each set of `shared` large bands of a class, of sets that a class outside its base has.
+
+    hot: fp, bands (its large bands that hold several components)."""
+    of = lambda fps: fps.join(hot, "fp").select("fp", "component", F.inline(_sets("bands", shared)))
+    wanted = cut(of(large.filter("component <> base").select("fp", "component").distinct()).select("key").distinct())
+    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    return of(large.select("fp", "component").distinct()).join(some, "key", "left_semi")
+
+
+def _sets(bands: str, n: int):
+    """Hashes of all sets of n (2 or 3) of the sorted bands."""
+    rest = lambda i: f"slice({bands}, {i} + 2, size({bands}))"
+    two = f"flatten(transform({bands}, (x, i) -> transform({rest('i')}, y -> struct(xxhash64(x, y) AS key))))"
+    three = f"flatten(transform({bands}, (x, i) -> flatten(transform({rest('i')}, (y, j) -> transform(slice({bands}, i + j + 3, size({bands})), z -> struct(xxhash64(x, y, z) AS key))))))"
+    return F.expr(two if n == 2 else three)
+
+
 def cross_pairs(held: DataFrame, classes: DataFrame, group: int = GROUP) -> DataFrame:
-    """held: band, fp of bands with several classes; classes: fp, size, sketch, bands, component. Pairs a, b to compare: classes of different components that share a band.
+    """held: band, fp of bands with several classes; classes: fp, size, sketch, component. Pairs a, b to compare: classes of different components that share a band.
 
-    Those of a band with over group classes must share a second one, and a third if that is large, too. Only
-    classes of bands with several components carry their sketches."""
-    rows = held.select(F.col("band").alias("key"), "fp", F.array("band").alias("parts")).join(classes.select("fp", "component"), "fp")
-    pairs = None
+    Of a band with over group classes a pair must share a second one: if that is small it is met there, so only sets of
+    two large bands are made, and of three where those are large, too. Only classes of bands with several components
+    carry their sketches."""
+    rows, large, hot, pairs = held.select(F.col("band").alias("key"), "fp").join(classes.select("fp", "component"), "fp"), None, None, None
     for shared in range(1, DEEPEST + 1):
-        rows = cut(_mixed(rows))
+        rows = cut(_mixed(rows if shared == 1 else _combined(large, hot, shared)))
         last = shared == DEEPEST
         found = rows if last else rows.filter(F.col("n") <= group)
-        found = _crossed(found.drop("parts").join(classes.select("fp", "size", "sketch"), "fp"))
+        found = _crossed(found.join(classes.select("fp", "size", "sketch"), "fp"))
         pairs = found if pairs is None else pairs.unionByName(found)
         large = rows.filter(F.col("n") > group)
         if last or large.isEmpty():
             break
-        deeper = large.select("fp", "component", "parts").join(classes.select("fp", "bands"), "fp")
-        deeper = deeper.select("fp", "component", F.explode(F.array_except("bands", "parts")).alias("band"), "parts")
-        deeper = deeper.select("fp", "component", F.array_sort(F.array_append("parts", F.col("band"))).alias("parts"))
-        rows = deeper.select("fp", "component", F.xxhash64("parts").alias("key"), "parts").dropDuplicates(["key", "fp"])
+        if shared == 1:
+            hot = cut(large.groupBy("fp").agg(F.array_sort(F.collect_set("key")).alias("bands")))
     return pairs.distinct()
 
 
@@ -171,7 +187,7 @@ def alike_links(classes: DataFrame, texts: DataFrame, group: int = GROUP) -> Dat
     stars = held.filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).unionByName(ball_pairs(classes)).distinct()
     links = cut(_alike(_sifted(cut(stars), classes), classes, texts))
     of = connected_components(links).withColumnRenamed("node", "fp")
-    own = cut(classes.select("fp", "size", "sketch", "bands").join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    own = cut(classes.select("fp", "size", "sketch").join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     return links.unionByName(_alike(cross_pairs(held.select("band", "fp"), own, group), classes, texts))
 
 

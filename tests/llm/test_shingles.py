@@ -67,8 +67,8 @@ def test_large_bands_are_split_and_lose_no_link(spark):
     for group in (4, shingles.GROUP):
         links = shingles.alike_links(marked.drop("id"), texts, group)
         assert {r.id: r.component_id for r in shingles.labelled(marked.select("id", "fp"), links).collect()} == want
-    own = marked.select("fp", "size", "sketch", "bands", F.col("fp").alias("component"))
-    held = own.select("fp", F.explode("bands").alias("band"))
+    own = marked.select("fp", "size", "sketch", F.col("fp").alias("component"))
+    held = marked.select("fp", F.explode("bands").alias("band"))
     assert shingles.cross_pairs(held, own, 4).count() < 5 * len(rows)
     marked.unpersist()
 
