@@ -1,3 +1,3 @@
 """Named queries: importing the package registers them all."""
 
-from . import contexts, distil, queries, rules, stewards, walks  # noqa: F401
+from . import contexts, distil, queries, rules, stewards, streams, walks  # noqa: F401

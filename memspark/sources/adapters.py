@@ -23,7 +23,11 @@ def seconds(ts: str) -> Column:
 
 def journal(spark: SparkSession, d: str) -> DataFrame:
     """One row per conversation turn: id, ts, layer, user_id, text, raw_type."""
-    c = table(spark, d, "conversations")
+    return journal_of(table(spark, d, "conversations"))
+
+
+def journal_of(c: DataFrame) -> DataFrame:
+    """Journal rows of conversation turns, a table or a stream."""
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         (F.col("conv_id") * 3600 + F.col("turn") * 60).alias("ts"),
