@@ -7,8 +7,10 @@ coverage.
 
 Where to align: of a text only the template's own words are looked at. Runs of them that the template
 has, too, say where it would begin; beginnings that lie close together make one stretch. A passage of
-coverage 0.8 has such a run: its missing words cut it into pieces, one of which has three words at
-least (two in short templates). What was found is taken out, and what is left between is searched
+coverage 0.8 whose words were left out or exchanged has such a run: its missing words cut it into pieces, one of
+which has three words at least (two in short templates). Template words put in after every second word can break
+all such runs; of texts so made, which align() covers by 0.8, about one in five is missed (none with one after
+every third word). What was found is taken out, and what is left between is searched
 again until nothing is found."""
 
 from __future__ import annotations
