@@ -7,7 +7,7 @@ import math
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,9 +63,10 @@ def export_parts(df: DataFrame, path: str, part: Column, name: str) -> None:
 
 
 def import_new(spark: SparkSession, path: str, schema: str, current: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """JSON lines against what is there: the rows to add (the first of each key), and one row of counts: read, added, skipped."""
+    """JSON lines against what is there: the rows to add (of each key the least by all columns), and one row of counts: read, added, skipped."""
     read = spark.read.schema(schema).json(path)
-    once = read.dropDuplicates(keys).join(current.select(*keys), keys, "left_anti")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*read.columns))
+    once = read.withColumn("_n", place).where("_n = 1").drop("_n").join(current.select(*keys), keys, "left_anti")
     return once, read.agg(F.count("*").alias("read")).crossJoin(once.agg(F.count("*").alias("added"))).withColumn("skipped", F.col("read") - F.col("added"))
 
 
