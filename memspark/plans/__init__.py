@@ -1,3 +1,3 @@
 """Named queries: importing the package registers them all."""
 
-from . import contexts, distil, graphs, queries, rules, stewards, streams, walks  # noqa: F401
+from . import asking, contexts, distil, graphs, queries, rules, stewards, streams, walks  # noqa: F401
