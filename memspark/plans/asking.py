@@ -1,10 +1,14 @@
-"""Named queries of what messages ask and which sources they are worth, each with the DuckDB SQL that checks it."""
+"""Named queries of what messages ask and which sources they are worth, of standing queries and lists of nodes, each with the DuckDB SQL that checks it."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import asking as ak
+from ..lineage import shared_folder
+from ..operators import standing as sd
 from ..sources import adapters as ad
 from ..sources.adapters import with_sql
 from .queries import query
@@ -40,3 +44,32 @@ def query_features(spark, d):
 SELECT id, contains(g, 'r') AS rag, contains(g, 'w') AS wiki, contains(g, 'e') AS episodic, contains(g, 'c') AS core, contains(g, 'g') AS graph FROM r""", "journal"))
 def gated_sources(spark, d):
     return _features(spark, d).select("id", ak.gate_sources(F.col("f")).alias("g")).select("id", "g.*")
+
+
+# -- standing queries and lists of nodes --------------------------------------------------
+
+
+@query("standing_query", with_sql(" SELECT entry_id, round(importance, 6) AS importance FROM facts WHERE importance >= 0.5 AND contains(lower(value), 'urgent') AND user_id = 'u3' ORDER BY created_at DESC, entry_id DESC LIMIT 100", "facts"))
+def standing_query(spark, d):
+    folder = f"{shared_folder(spark).rstrip('/')}/standing-{uuid.uuid4().hex}"
+    for least in (0.9, 0.5):
+        sd.save(spark, folder, "urgent-facts", {"description": "what is urgent", "importance_min": least, "content_like": "Urgent", "limit": 100})
+    return sd.run(spark, folder, "urgent-facts", {"core": ad.facts(spark, d)}, "u3").select("entry_id", F.round("importance", 6).alias("importance"))
+
+
+_OWNED = "o AS (SELECT *, 'u' || (substr(node_id, 2)::bigint % 3)::varchar AS user_id, length(content) / 60 AS confidence FROM nodes)"
+
+
+def _owned(spark, d):
+    user = F.concat(F.lit("u"), (F.substring("node_id", 2, 20).cast("long") % 3).cast("string"))
+    return ad.nodes(spark, d).withColumn("user_id", user).withColumn("confidence", F.length("content") / 60)
+
+
+@query("nodes_of_type", with_sql(f", {_OWNED} SELECT node_id, round(confidence, 6) AS confidence FROM o WHERE user_id = 'u1' AND node_type = 'supplier' ORDER BY o.confidence DESC, node_id LIMIT 20", "nodes"))
+def nodes_of_type(spark, d):
+    return sd.nodes_of_type(_owned(spark, d), "u1", "supplier").select("node_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("nodes_tagged", with_sql(f", {_OWNED} SELECT node_id, round(confidence, 6) AS confidence FROM o WHERE user_id = 'u1' AND node_id IN (SELECT node_id FROM tags WHERE tag = 'size:7') ORDER BY o.confidence DESC, node_id LIMIT 20", "nodes", "tags"))
+def nodes_tagged(spark, d):
+    return sd.nodes_tagged(_owned(spark, d), ad.tags(spark, d), "u1", "size:7").select("node_id", F.round("confidence", 6).alias("confidence"))
