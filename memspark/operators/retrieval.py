@@ -105,7 +105,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, scores, limit: int, shape: s
 
     shape: type of the score. Returns query_id, vec_id and score."""
     nq, nv = (max(1, math.ceil(df.count() / size)) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
-    part = lambda df, n, mine, other, m: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    # Both sides' numbers are ints: those of other types are hashed otherwise, and equal blocks wouldn't meet.
+    part = lambda df, n, mine, other, m: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     left, right = part(vectors, nv, "_v", "_q", nq), part(queries, nq, "_q", "_v", nv)
 
     def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
