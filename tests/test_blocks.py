@@ -25,3 +25,12 @@ def test_cosine_search_over_several_blocks(vectors):
     got = rt.cosine_search(df, df.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id"), 4).collect()
     assert len(got) == len(want)
     assert {(r.query_id, r.vec_id) for r in got} == want
+
+
+def test_binary_search_over_several_blocks(spark, vectors):
+    bits = [int(b) for b in np.random.default_rng(8).integers(0, 2**62, 120)]
+    df = spark.createDataFrame(list(enumerate(bits)), "vec_id long, bits long")
+    want = {(q, v, (bits[q] ^ bits[v]).bit_count()) for q in range(0, 120, 3) for v in sorted(range(120), key=lambda v, q=q: ((bits[q] ^ bits[v]).bit_count(), v))[:4]}
+    got = rt.binary_search(df, df.where("vec_id % 3 = 0").withColumnsRenamed({"vec_id": "query_id", "bits": "qbits"}), 4).collect()
+    assert len(got) == len(want)
+    assert {(r.query_id, r.vec_id, r.distance) for r in got} == want
