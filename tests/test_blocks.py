@@ -34,3 +34,14 @@ def test_binary_search_over_several_blocks(spark, vectors):
     got = rt.binary_search(df, df.where("vec_id % 3 = 0").withColumnsRenamed({"vec_id": "query_id", "bits": "qbits"}), 4).collect()
     assert len(got) == len(want)
     assert {(r.query_id, r.vec_id, r.distance) for r in got} == want
+
+
+def test_each_query_finds_its_nearest_over_several_blocks(vectors):
+    """What fact_cover averages: one row for each query, none is lost between blocks."""
+    x, df = vectors
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = np.round(unit @ unit.T, 6)
+    got = rt.cosine_search(df.where("vec_id % 10 >= 5"), df.where("vec_id % 10 < 5").withColumnRenamed("vec_id", "query_id"), 1).collect()
+    others = [i for i in range(120) if i % 10 >= 5]
+    assert {r.query_id: r.score for r in got} == {q: near[q, others].max() for q in range(120) if q % 10 < 5}
+    assert len(got) == 60
