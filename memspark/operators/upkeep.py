@@ -257,10 +257,19 @@ def edge_report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_sessions(nodes: DataFrame, spans: DataFrame, window: int = 300) -> DataFrame:
-    """nodes (node_id, created_at), spans (session_id, ts): sessions with an event within `window` seconds of a node, by time buckets."""
-    n = nodes.select("node_id", "created_at", F.floor(F.col("created_at") / window).alias("_b"))
-    s = spans.withColumn("_b", F.explode(F.array(*[F.floor(F.col("ts") / window) + k for k in (-1, 0, 1)])))
-    return n.join(s, "_b").where(F.abs(F.col("ts") - F.col("created_at")) <= window).select("node_id", "session_id").distinct()
+    """nodes (node_id, created_at), spans (session_id, ts): sessions with an event within `window` seconds of a node, by time buckets.
+
+    A session's times whose windows touch are one interval first, so a node of one time meets each session once and
+    its pairs aren't shuffled; only those of nodes with several times are made distinct."""
+    own = Window.partitionBy("session_id").orderBy("ts")
+    apart = F.coalesce((F.col("ts") - F.lag("ts").over(own) > 2 * window).cast("int"), F.lit(1))
+    runs = spans.select("session_id", "ts").where("ts is not null").withColumn("_new", apart).withColumn("_run", F.sum("_new").over(own))
+    runs = runs.groupBy("session_id", "_run").agg((F.min("ts") - window).alias("_from"), (F.max("ts") + window).alias("_to"))
+    bucket = lambda c: F.floor(F.col(c) / window)
+    s = runs.select("session_id", "_from", "_to", F.explode(F.sequence(bucket("_from"), bucket("_to"))).alias("_b"))
+    n = nodes.select("node_id", "created_at").distinct().withColumn("_n", F.count("node_id").over(Window.partitionBy("node_id"))).withColumn("_b", bucket("created_at"))
+    of = lambda some: n.where(some).join(s, "_b").where(F.col("created_at").between(F.col("_from"), F.col("_to"))).select("node_id", "session_id")
+    return of("_n = 1").unionByName(of("_n <> 1").distinct())
 
 
 def provenance_edges(facts: DataFrame) -> DataFrame:
