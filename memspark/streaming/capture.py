@@ -8,6 +8,7 @@ restart goes on where the last batch ended and the chain stays whole."""
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,12 +67,12 @@ class Capture(StatefulProcessor):
         n, before = self.head.get() if self.head.exists() else (0, "")
         times = list(self.recent.get()[0]) if self.recent.exists() else []
         # Times of this batch count for all rows of their second.
-        times += [int(t) for t in batch["ts"]]
+        times = sorted(times + [int(t) for t in batch["ts"]])
         out = []
         for row in batch.itertuples(index=False):
             ts, text = int(row.ts), row.text if isinstance(row.text, str) else ""
             name = (hashlib.sha256(text.encode()).hexdigest(),)
-            lately = sum(ts - self.window < t <= ts for t in times)
+            lately = bisect_right(times, ts) - bisect_right(times, ts - self.window)
             if self.seen.containsKey(name):
                 out.append((*key, row.id, ts, row.raw_type, text, "copy", self.seen.getValue(name)[0], None, None, None))
             elif lately > self.most:
