@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memspark.operators import aggregates as ag
+from memspark.operators import graph as gr
 from memspark.operators import miners as mn
 from memspark.operators import upkeep as up
 
@@ -85,3 +86,12 @@ def test_median_takes_few_values_to_the_driver(spark, monkeypatch, kind):
     values = {"equal": [1.0] * 3000 + [0.5, 2.0], "spread": [rng.gauss(0, 5) for _ in range(3001)] + [1e300, -1e300], "two": [1.0, 2.0], "none": []}[kind]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "w double")
     assert ag.median(df, F.col("w")) == (statistics.median(values) if values else None)
+
+
+def test_neighbours_look_up_the_ends_of_their_own_edges_alone(spark):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(500)] + [("n1", "gone"), ("gone", "n400"), ("n2", "n2")]
+    edges = spark.createDataFrame(pairs, "source_id string, target_id string")
+    members = spark.createDataFrame([(f"n{i}",) for i in range(501)], "node_id string")
+    out = gr.neighbours(edges, members, spark.createDataFrame([("n1",), ("n1",), ("gone",)], "node string"), 2)
+    assert sorted((r.origin, r.node, r.depth) for r in out.collect()) == [("n1", "n0", 1), ("n1", "n2", 1), ("n1", "n3", 2)]
+    assert max(_join_rows(spark, out)) < 100
