@@ -8,12 +8,15 @@ read before the hits are known. Merging writes all segments as one."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,11 +24,12 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..lineage import cut
 from . import retrieval as rt
-from . import stores as st
 from . import windows as wn
 
 #: Buckets that postings are dealt into; terms that are named to the scan (more are joined).
 BUCKETS, NAMED_TERMS = 64, 1000
+#: Pages of a task that splits them, words of a task that writes their postings, pages whose words are counted at once.
+TASK_PAGES, TASK_WORDS, COUNTED = 2_500, 500_000, 256
 DIM, FUSED = 384, 3
 PAGES = "page_id long, user_id string, title string, content string, hash string, dl int, chunks array<string>"
 CHUNKS = "page_id long, user_id string, chunk int, content string, bits array<long>"
@@ -35,9 +39,15 @@ _MANIFEST = "version int, segments array<string>, n long, words long"
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def hash_bits(texts: pd.Series) -> pd.Series:
-    """The signs of a text's hash vector, 64 to a number, the first the highest."""
-    signs = [np.array(st.hash_vector(t, DIM)) > 0 for t in texts]
-    return pd.Series([np.packbits(s).view(">u8").astype(np.int64) for s in signs], dtype=object)
+    """The signs of a text's hash vector (stores.hash_vector), 64 to a number, the first the highest. All texts of a batch at once."""
+    raw = b"".join(hashlib.sha512((t or "").lower().encode()).digest() for t in texts)
+    values = np.frombuffer(raw, "<f4").reshape(len(texts), -1)
+    finite = np.isfinite(values)
+    # Numbers that aren't finite are left out, so the others move up.
+    order = np.argsort(~finite, axis=1, kind="stable")
+    signs = np.zeros((len(texts), DIM), bool)
+    signs[:, : values.shape[1]] = np.take_along_axis(finite & (np.where(finite, values, 0) > 0), order, 1)
+    return pd.Series(list(np.packbits(signs, axis=1).view(">u8").astype(np.int64)), dtype=object)
 
 
 def create(spark: SparkSession, folder: str) -> str:
@@ -74,10 +84,27 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, manifest(spark, folder)[1], "postings", POSTINGS)
 
 
-def _write_postings(counts: DataFrame, path: str) -> None:
-    """By bucket and term; a term of very many pages spreads over tasks, as pages are part of the ranges."""
+def _write_postings(counts: DataFrame, path: str, words: int) -> None:
+    """By bucket and term; tasks follow the number of words, and where a bucket has several its pages are dealt among them, so a term of very many pages spreads.
+
+    Rows are dealt once, by hash: ranges would be sampled, for which all counts are worked out twice."""
+    tasks = max(1, math.ceil(words / TASK_WORDS))
+    part = F.pmod(F.xxhash64("page_id"), F.lit(math.ceil(tasks / BUCKETS)))
     rows = counts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    rows.repartitionByRange("bucket", "term", "page_id").sortWithinPartitions("bucket", "term", "page_id").write.partitionBy("bucket").parquet(path)
+    rows.repartition(tasks, "bucket", part).sortWithinPartitions("bucket", "term", "page_id").write.partitionBy("bucket").parquet(path)
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with their words (terms) as rows of POSTINGS. A page is one row, so its words are counted where it is."""
+    for batch in batches:
+        for i in range(0, len(batch), COUNTED):
+            some = batch.slice(i, COUNTED)
+            lists = some.column("terms")
+            met = pa.table({"page": pc.list_parent_indices(lists), "term": lists.flatten()}).group_by(["page", "term"], use_threads=False).aggregate([([], "count_all")])
+            own = some.select(["page_id", "user_id", "dl"])
+            for part in met.combine_chunks().to_batches():
+                rows = own.take(part.column("page"))
+                yield pa.RecordBatch.from_arrays([part.column("term"), rows.column("page_id"), rows.column("user_id"), part.column("count_all").cast(pa.int64()), rows.column("dl")], ["term", "page_id", "user_id", "tf", "dl"])
 
 
 def ingest(docs: DataFrame, folder: str, bits: Callable[[Column], Column] = hash_bits, most: int = 500, overlap: int = 100) -> int:
@@ -91,8 +118,11 @@ def ingest(docs: DataFrame, folder: str, bits: Callable[[Column], Column] = hash
     owner = F.coalesce("user_id", F.lit("")).alias("_u")
     first = given.groupBy(owner, "hash").agg(F.min("page_id").alias("page_id"))
     known = _read(spark, folder, segments, "pages", PAGES).select(owner, "hash")
-    wanted = first.join(known, ["_u", "hash"], "left_anti").select("page_id", "hash")
-    split = given.join(wanted, ["page_id", "hash"], "left_semi").dropDuplicates(["page_id"]).withColumn("chunks", tx.chunks(most, overlap)(F.col("content"))).where("size(chunks) > 0")
+    # Of a page_id that repeats one content comes in. Contents are dealt out once, to as many tasks as their number asks for.
+    wanted = cut(first.join(known, ["_u", "hash"], "left_anti").groupBy("page_id").agg(F.min("hash").alias("hash")))
+    tasks = max(1, math.ceil(wanted.count() / TASK_PAGES))
+    dealt = lambda df: df.repartition(tasks, "page_id", "hash")
+    split = dealt(given).join(dealt(wanted), ["page_id", "hash"], "left_semi").dropDuplicates(["page_id", "hash"]).withColumn("chunks", tx.chunks(most, overlap)(F.col("content"))).where("size(chunks) > 0")
     term_list = F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "content")), F.lit(tx.WORD), 1)
     segment = f"{version + 1:06}-{uuid.uuid4().hex}"
     path = lambda table: f"{folder}/{table}/segment={segment}"
@@ -102,8 +132,8 @@ def ingest(docs: DataFrame, folder: str, bits: Callable[[Column], Column] = hash
     if not added:
         return 0
     new.select("page_id", "user_id", F.posexplode("chunks").alias("chunk", "content")).withColumn("bits", bits(F.col("content"))).write.parquet(path("chunks"))
-    counts = new.select("page_id", "user_id", "dl", F.explode(term_list).alias("term")).groupBy("term", "page_id").agg(F.first("user_id").alias("user_id"), F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    _write_postings(counts, path("postings"))
+    counts = new.select("page_id", "user_id", "dl", term_list.alias("terms")).mapInArrow(_term_counts, POSTINGS.removesuffix(", bucket int"))
+    _write_postings(counts, path("postings"), more)
     _commit(spark, folder, (version + 1, [*segments, segment], n + added, words + more))
     return added
 
@@ -116,7 +146,7 @@ def merge(spark: SparkSession, folder: str) -> None:
     segment = f"{version + 1:06}-{uuid.uuid4().hex}"
     for table, schema in (("pages", PAGES), ("chunks", CHUNKS)):
         _read(spark, folder, segments, table, schema).write.parquet(f"{folder}/{table}/segment={segment}")
-    _write_postings(_read(spark, folder, segments, "postings", POSTINGS).drop("bucket"), f"{folder}/postings/segment={segment}")
+    _write_postings(_read(spark, folder, segments, "postings", POSTINGS).drop("bucket"), f"{folder}/postings/segment={segment}", words)
     _commit(spark, folder, (version + 1, [segment], n, words))
 
 

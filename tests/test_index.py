@@ -4,9 +4,11 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from memspark.functions import text as tx
 from memspark.operators import index as ix
 from memspark.operators import retrieval as rt
 from memspark.operators import stores as st
@@ -117,3 +119,26 @@ def test_strategies(spark, docs, tmp_path):
     assert auto[1] == "fts" and "mib" in {r.source for r in ix.search(spark, folder, q, "auto").collect() if r.query_id == 2} | {"mib"}
     with pytest.raises(ValueError, match="unknown"):
         ix.search(spark, folder, q, "other")
+
+
+def test_words_are_counted_once_and_bits_equal_hash_vectors(spark, docs, tmp_path, monkeypatch):
+    texts = ["", "Some text", "ß \U0001f600", *(f"t{i}" for i in range(2000))]
+    got = ix.hash_bits.func(pd.Series(texts + [None]))
+    for t, bits in zip([*texts, None], got):
+        signs = np.array(st.hash_vector(t)) > 0
+        assert list(bits) == list(np.packbits(signs).view(">u8").astype(np.int64))
+    monkeypatch.setattr(ix, "TASK_WORDS", 5000)
+    runs, own = spark.sparkContext.accumulator(0), ix._term_counts
+
+    def counted(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield from own(iter([b]))
+
+    monkeypatch.setattr(ix, "_term_counts", counted)
+    folder = ix.create(spark, str(tmp_path / "s"))
+    n = ix.ingest(docs, folder)
+    # Each page's words are counted once, and rows of a bucket are dealt to several tasks where there are many.
+    assert runs.value == n
+    want = ix.pages(spark, folder).select("page_id", F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "content")), F.lit(tx.WORD), 1)).alias("term")).groupBy("term", "page_id").count()
+    assert sorted(map(tuple, want.collect())) == sorted((r.term, r.page_id, r.tf) for r in ix.postings(spark, folder).collect())
