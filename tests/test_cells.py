@@ -88,3 +88,29 @@ def test_communities_and_pairs_are_dealt_to_tasks_by_their_number(spark, monkeyp
         assert {r.node: r.community for r in found.collect()} == now
     assert jn.in_tasks(df, 400, "source_id").rdd.getNumPartitions() == 8
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topic_overlap_writes_candidates_alone(spark, monkeypatch):
+    rnd = random.Random(7)
+    # All share a word that is rarer than their others; a few are alike.
+    texts = {f"n{i:03}": {"shared", *rnd.sample([f"word{k}" for k in range(400)], 20)} for i in range(300)}
+    for i in range(0, 40, 2):
+        texts[f"n{i:03}"] = {*sorted(texts[f"n{i + 1:03}"])[:14], "other", "shared"}
+    seen, own = [], gr._met
+
+    def met(rows, floor):
+        found = [own(rows, floor, block) for block in (2048, 50)]
+        a, b = ({tuple(r) for r in f.collect()} for f in found)
+        assert a == b
+        seen.append(a)
+        return found[1]
+
+    monkeypatch.setattr(gr, "_met", met)
+    monkeypatch.setattr(gr, "_pairs_at_least", lambda *_: 1 << 60)
+    nodes = spark.createDataFrame([(k, " ".join(sorted(v))) for k, v in texts.items()], "node_id string, content string")
+    got = {(r.a, r.b): round(r.weight, 9) for r in gr.topic_overlap(nodes, {}).collect()}
+    # "other" is a stop word or not, so sets are those that the operator sees.
+    sets = {r.node_id: set(r.w) for r in nodes.select("node_id", gr.distil.canonical_tokens(F.col("content"), {}).alias("w")).collect()}
+    likes = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a in sets for b in sets if a < b}
+    assert got == {k: v for k, v in likes.items() if v >= 0.3} and len(got) >= 20
+    assert set(got) <= seen[0] and len(seen[0]) < 1000 < 300 * 299 // 2
