@@ -4,18 +4,22 @@ Texts with the same set are one class. Ball hashing of the SimHash of its shingl
 within two bits. Sets of similarity 0.8 differ in about ten of 64 bits, which no ball of a size that can be emitted
 reaches, so candidates come from minima, too: a class emits BANDS hashes, each of ROWS minima of its shingles
 under random orders; two classes of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS,
-which is 0.999997 at 0.8 and more above. Candidates are compared first with the smallest class of each of their bands. Then
+which is 0.999997 at 0.8 and more above. Candidates are compared first with one class of each of their bands, that with the most company. Then
 only bands that still hold several components matter. Of one with GROUP classes at most all pairs of classes of
-different components are compared. Of a larger one, only classes that share a second band meet (in that band, if it is small, else in
-the pair of both), and of large pairs those that share three (at similarity 0.8 they do with
-0.99995 and 0.9996, at 0.85 with less than one in 1,000,000 missing). So pairs follow the classes and not the squares of groups
-that only share a passage.
+different components are compared. Classes of larger ones meet by their rarest shingles: of two sets of similarity 0.8
+with m <= n members at least 4/9 (m + n) are common, so in any one order of all shingles the first members of both, as many as may be
+missing and one more, have one in common. The order puts shingles that a single component holds first, then rare ones before
+frequent ones, and classes meet by spans of sizes a fiftieth apart, so the first members are a ninth of a set where sizes are equal. Texts that
+share a passage but differ by more than that have only shingles of their own there, however many they are; none is left out.
 
 Before whole sets are fetched, candidates are sifted by sketches: BITS bits of each minimum. Their agreement
 estimates the similarity with a deviation of 0.036 at 0.8; pairs under LIKELY lie over five deviations below."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -29,8 +33,8 @@ from .simhash import fingerprint_of, variant_links
 
 SEED, SHINGLE_WORDS, LEAST = 42, 5, 0.8
 BANDS, ROWS = 32, 5
-#: Bits of a minimum in a sketch; estimate from which on whole sets are compared; classes of a band that are compared pair by pair; bands that a pair shares at most to meet.
-BITS, LIKELY, GROUP, DEEPEST = 4, 0.6, 64, 3
+#: Bits of a minimum in a sketch; estimate from which on whole sets are compared; classes of a band that are compared pair by pair; ratio of sizes that meet in one span.
+BITS, LIKELY, GROUP, SPAN = 4, 0.6, 4, 1.02
 #: Texts to compare up to which their names are broadcast.
 BROADCAST_TEXTS = 1_000_000
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
@@ -81,15 +85,19 @@ def set_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_set(t).view(np.int64) for t in texts])
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets are alike. Only sets of classes in a pair are made and dealt out, and narrow rows meet at a hot class first."""
-    pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = cut(classes.join(ends, "fp", "left_semi").select("fp", "text_key"))
+def _sets_of(fps: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """fp and set of the classes fps (fp, distinct). Only their sets are made and dealt out."""
+    wanted = cut(classes.join(fps, "fp", "left_semi").select("fp", "text_key"))
     # Names of wanted texts are broadcast up to a number; beyond it all texts are shuffled.
     some = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
     whole = texts.join(some, "text_key").groupBy("fp").agg(F.min("text").alias("text"))
-    sets = cut(whole.select("fp", set_udf("text").alias("set")))
+    return cut(whole.select("fp", set_udf("text").alias("set")))
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets are alike. Only sets of classes in a pair are fetched, and narrow rows meet at a hot class first."""
+    pairs = cut(pairs)
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), classes, texts)
     left, right = (sets.select(F.col("fp").alias(k), F.col("set").alias(f"of_{k}")) for k in "ab")
     met = pairs.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -125,11 +133,18 @@ def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.filter(_fit("sa", "sb")).filter(_likely("ka", "kb")).select("a", "b")
 
 
-def _crossed(rows: DataFrame) -> DataFrame:
-    """rows: key, fp, size, sketch, component, base. Likely pairs a, b of classes that share a key and differ in component."""
-    of = lambda k, df: df.select("key", *[F.col(c).alias(f"{k}_{c}") for c in ("fp", "size", "sketch", "component")])
-    met = of("x", rows.filter("component <> base")).join(of("y", rows), "key")
-    met = met.filter("x_component <> y_component").filter(_fit("x_size", "y_size")).filter(_likely("x_sketch", "y_sketch"))
+def _shared(m, n):
+    """The fewest common members of alike sets with m and n."""
+    return F.ceil((m + n) * (LEAST / (1 + LEAST)) - 1e-6)
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs a, b of rows (key, fp, size, component) that share a key, differ in component and let sets be alike, by their sizes and where the key is in their order (at), if that is given."""
+    of = lambda k, df: df.select("key", *[F.col(c).alias(f"{k}_{c}") for c in ("fp", "size", "component", *["at"] * ("at" in df.columns))])
+    met = of("x", left).join(of("y", right), "key").filter("x_component <> y_component").filter(_fit("x_size", "y_size"))
+    if "at" in left.columns:
+        shared = _shared(F.col("x_size"), F.col("y_size"))
+        met = met.filter((F.col("x_at") <= F.col("x_size") - shared) & (F.col("y_at") <= F.col("y_size") - shared))
     return met.select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b"))
 
 
@@ -140,55 +155,65 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(cut(keys.select("key", "n", F.col("most.component").alias("base"))), "key")
 
 
-def _combined(large: DataFrame, hot: DataFrame, shared: int) -> DataFrame:
-    """Rows (key, fp, component) for each set of `shared` large bands of a class, of sets that a class outside its base has.
-
-    hot: fp, bands (its large bands that hold several components)."""
-    of = lambda fps: fps.join(hot, "fp").select("fp", "component", F.inline(_sets("bands", shared)))
-    wanted = cut(of(large.filter("component <> base").select("fp", "component").distinct()).select("key").distinct())
-    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
-    return of(large.select("fp", "component").distinct()).join(some, "key", "left_semi")
-
-
-def _sets(bands: str, n: int):
-    """Hashes of all sets of n (2 or 3) of the sorted bands."""
-    rest = lambda i: f"slice({bands}, {i} + 2, size({bands}))"
-    two = f"flatten(transform({bands}, (x, i) -> transform({rest('i')}, y -> struct(xxhash64(x, y) AS key))))"
-    three = f"flatten(transform({bands}, (x, i) -> flatten(transform({rest('i')}, (y, j) -> transform(slice({bands}, i + j + 3, size({bands})), z -> struct(xxhash64(x, y, z) AS key))))))"
-    return F.expr(two if n == 2 else three)
-
-
-def cross_pairs(held: DataFrame, classes: DataFrame, group: int = GROUP) -> DataFrame:
-    """held: band, fp of bands with several classes; classes: fp, size, sketch, component. Pairs a, b to compare: classes of different components that share a band.
-
-    Of a band with over group classes a pair must share a second one: if that is small it is met there, so only sets of
-    two large bands are made, and of three where those are large, too. Only classes of bands with several components
-    carry their sketches."""
-    rows, large, hot, pairs = held.select(F.col("band").alias("key"), "fp").join(classes.select("fp", "component"), "fp"), None, None, None
-    for shared in range(1, DEEPEST + 1):
-        rows = cut(_mixed(rows if shared == 1 else _combined(large, hot, shared)))
-        last = shared == DEEPEST
-        found = rows if last else rows.filter(F.col("n") <= group)
-        found = _crossed(found.join(classes.select("fp", "size", "sketch"), "fp"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        large = rows.filter(F.col("n") > group)
-        if last or large.isEmpty():
-            break
-        if shared == 1:
-            hot = cut(large.groupBy("fp").agg(F.array_sort(F.collect_set("key")).alias("bands")))
-    return pairs.distinct()
+def _firsts(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """classes: fp, size, component; sets: fp, set. Rows (key, fp, size, component, own, at) of the first shingles of each class.
+
+    A key is a shingle and a span of sizes; own: the class has a size of that span, else it looks for smaller ones there; at: the shingle's place in the class's order, from 0."""
+    rows = sets.join(classes.select("fp", "component"), "fp").select("fp", "component", F.explode("set").alias("shingle"))
+    # Shingles of one component come first in the order and lead to no other, so their number is all that matters.
+    held = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    common = cut(held.filter("low <> high").select("shingle", "n"))
+    met = join_hot(rows.select("fp", "shingle"), common, "shingle")
+    ordered = met.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("order")).join(classes, "fp")
+    span = lambda n: F.floor(F.log(n) / math.log(SPAN) + 1e-9)
+    smallest = F.ceil(F.col("size") * LEAST - 1e-6)
+    spans = ordered.select("*", smallest.alias("smallest"), F.explode(F.sequence(span(smallest), span(F.col("size")))).alias("span"))
+    # The least size of a span is taken a trifle lower, as logarithms are rounded.
+    partner = F.greatest("smallest", F.ceil(F.pow(F.lit(SPAN), F.col("span")) * (1 - 1e-9)))
+    shared = _shared(partner, F.col("size"))
+    # Of size - shared + 1 first shingles those of one component are left out.
+    left = F.size("order") - shared + 1
+    firsts = spans.select("fp", "size", "component", "span", (F.col("span") == span(F.col("size"))).alias("own"), (F.col("size") - F.size("order")).alias("alone"), F.posexplode(F.slice("order", 1, F.greatest(left, F.lit(0)).cast("int"))).alias("i", "first"))
+    return firsts.select(F.xxhash64("first.shingle", "span").alias("key"), "fp", "size", "component", "own", (F.col("alone") + F.col("i")).alias("at"))
+
+
+def first_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """classes: fp, size, component; sets: fp, set. Pairs a, b of different components that share one of their first shingles: all alike ones are among them."""
+    rows = cut(_mixed(_firsts(classes, sets)))
+    # The smaller class of a pair has a size of the span. The base's classes meet the others alone, never each other.
+    own, other = rows.filter("own"), rows.filter("component <> base")
+    found = _met(own.filter("component <> base"), rows).unionByName(_met(own.filter("component = base"), other.filter("not own")))
+    return found.distinct()
+
+
+def cross_pairs(held: DataFrame, classes: DataFrame, group: int = GROUP, fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """held: band, fp of bands with several classes; classes: fp, size, sketch, component. Likely pairs a, b: classes of different components that share a band.
+
+    Of a band with group classes at most all meet; the others' sets, which fetch gives for their fp, meet by their first
+    shingles. Without fetch only the former are looked at."""
+    own = classes.select("fp", "size", "component")
+    rows = cut(_mixed(held.select(F.col("band").alias("key"), "fp").join(own, "fp")))
+    few = rows.filter(F.col("n") <= group)
+    pairs = _met(few.filter("component <> base"), few)
+    if fetch is not None:
+        many = cut(rows.filter(F.col("n") > group).select("fp", "size", "component").distinct())
+        pairs = pairs.unionByName(first_pairs(many, fetch(many.select("fp"))))
+    return _sifted(cut(pairs.distinct()), classes)
 
 
 def alike_links(classes: DataFrame, texts: DataFrame, group: int = GROUP) -> DataFrame:
     """classes: fp, size, sim, bands, sketch, text_key, one row per class; texts: text_key, text. Returns links a, b that join all alike classes found."""
     emitted = classes.select("fp", F.explode("bands").alias("band"))
-    shared = emitted.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
-    held = cut(emitted.join(shared.select("band", "low"), "band"))
-    stars = held.filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).unionByName(ball_pairs(classes)).distinct()
+    shared = emitted.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    held = cut(emitted.join(shared, "band"))
+    # The middle of a band is the class that meets most others in all its bands: the text that others were edited from, rather than one of them.
+    known = cut(held.join(held.groupBy("fp").agg(F.sum("n").alias("known")), "fp"))
+    middle = known.groupBy("band").agg(F.max(F.struct("known", "fp")).alias("m")).select("band", F.col("m.fp").alias("low"))
+    stars = known.join(middle, "band").filter("fp <> low").select(F.least("low", "fp").alias("a"), F.greatest("low", "fp").alias("b")).unionByName(ball_pairs(classes)).distinct()
     links = cut(_alike(_sifted(cut(stars), classes), classes, texts))
     of = connected_components(links).withColumnRenamed("node", "fp")
     own = cut(classes.select("fp", "size", "sketch").join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    return links.unionByName(_alike(cross_pairs(held.select("band", "fp"), own, group), classes, texts))
+    return links.unionByName(_alike(cross_pairs(held.select("band", "fp"), own, group, lambda fps: _sets_of(fps, classes, texts)), classes, texts))
 
 
 def labelled(marked: DataFrame, links: DataFrame) -> DataFrame:

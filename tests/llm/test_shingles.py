@@ -73,6 +73,49 @@ def test_large_bands_are_split_and_lose_no_link(spark):
     marked.unpersist()
 
 
+def test_near_copies_of_one_text_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Several hundred texts alike by 0.5 to 0.79, each with a copy of its own: what is compared follows the texts, and all links are found."""
+    rng = random.Random(5)
+    base, rows = [f"p{i}" for i in range(150)], []
+    for i in range(250):
+        w = list(base)
+        for at in rng.sample(range(150), 4 + i % 4):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((2 * i, " ".join(w)))
+        w[rng.randrange(150)] = f"y{rng.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(w[: 150 - i % 9])))
+    sets = {d: plain_set(t) for d, t in rows}
+    want = components(list(sets), lambda a, b: alike(sets[a], sets[b]))
+    compared, plain = [], shingles._alike
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "_alike", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()} == want
+    assert len(set(want.values())) > 200
+    assert sum(compared[1:]) < 4 * len(rows)
+
+
+def test_first_shingles_meet_for_all_alike_sets(spark):
+    """Sets of all sizes from 1 to 60 and some large ones, each with subsets and sets that differ in a few members: no alike pair is missing."""
+    rng = random.Random(6)
+    sets = []
+    for n in [*range(1, 61), 150, 400, 401, 1000]:
+        whole = [rng.randrange(400) for _ in range(n)] if n < 61 else [rng.randrange(10**9) for _ in range(n)]
+        for share in (0, 1, 0.9, 0.8):
+            sets.append(sorted({*whole[: max(1, round(n * share))], *(rng.randrange(10**9) for _ in range(n // 12 if share == 0 else 0))} | (set(whole) if share == 0 else set())))
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "fp long, set array<long>")
+    classes = frame.select("fp", F.size("set").alias("size"), F.col("fp").alias("component"))
+    found = {(r.a, r.b) for r in shingles.first_pairs(classes, frame).collect()}
+    plain = [set(x) for x in sets]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len(plain[a] & plain[b]) >= 4 * len(plain[a] | plain[b])}
+    assert len(want) > 150
+    assert want <= found
+
+
 def test_sketches_estimate_the_similarity():
     rng = random.Random(2)
     for s in (0.0, 0.5, 0.8, 1.0):
