@@ -58,8 +58,8 @@ def shared_tags(tags: DataFrame, most_nodes: int | None = None) -> DataFrame:
     if most_nodes:
         rare = t.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") <= most_nodes).select("tag")
         t = t.join(rare, "tag", "left_semi")
-    pairs = jn.pairs_sharing(t, "tag", "node_id")
-    return pairs.select("a", "b", F.lit("tagged").alias("relation"), _stepped(F.col("n"), 0.4, 0.1).alias("weight"))
+    pairs = jn.pairs_sharing(t, "tag", "node_id", weigh=lambda n: _stepped(n, 0.4, 0.1))
+    return pairs.select("a", "b", F.lit("tagged").alias("relation"), F.col("n").alias("weight"))
 
 
 def _stepped(n: Column, first: float, step: float) -> Column:

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from memspark.operators import joins as jn
@@ -36,3 +37,25 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     df = spark.createDataFrame(_items(5), "g long, m string")
     plan = jn.pairs_sharing(df, "g", "m")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [a" not in plan
+
+
+def test_pairs_are_dealt_to_tasks_by_their_number_and_carry_batches(spark, monkeypatch):
+    """Few rows make many pairs: they met in as few tasks as the rows fill. Names are written once for many pairs."""
+    monkeypatch.setattr(jn, "PAIRS_OF_TASK", 500)
+    monkeypatch.setattr(jn, "BLOCK", 60)
+    monkeypatch.setattr(jn, "EMITTED", 64)
+    rows = [(g, f"m{m:03}", m % 5 - 2) for m in range(150) for g in (0, 100 + m // 10, 200 + m % 3)]
+    found = jn.pairs_sharing(spark.createDataFrame(rows, "g long, m string, batch int"), "g", "m", 1, "batch", weigh=lambda n: n * 10)
+    groups = {m: {g for g, x, _ in rows if x == m} for _, m, _ in rows}
+    of = {m: b for _, m, b in rows}
+    want = {(a, b, 10 * len(groups[a] & groups[b]), max(of[a], of[b])) for a, b in combinations(sorted(of), 2) if max(of[a], of[b]) >= 0}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert found.rdd.getNumPartitions() >= 150 * 150 / 2 / 500
+
+
+def test_block_of_a_group_gives_its_names_once_for_many_pairs():
+    names = [f"m{i:04}" for i in range(300)]
+    t = pa.table({"_m": names, "_new": pa.array([0] * 300, pa.int32()), "_of": pa.array([[7]] * 300, pa.list_(pa.int32())), "_c": pa.array([0] * 300, pa.int32()), "_h": pa.array([7] * 300, pa.int32()), "_i": pa.array([0] * 300, pa.int32()), "_j": pa.array([0] * 300, pa.int32())})
+    out = jn._block_pairs(t, 1)
+    assert sum(len(x) for x in out["at"].to_pylist()) == 300 * 299 // 2 and len(out) == 1 and out["names"][0].as_py() == names
