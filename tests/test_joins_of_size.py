@@ -95,3 +95,17 @@ def test_neighbours_look_up_the_ends_of_their_own_edges_alone(spark):
     out = gr.neighbours(edges, members, spark.createDataFrame([("n1",), ("n1",), ("gone",)], "node string"), 2)
     assert sorted((r.origin, r.node, r.depth) for r in out.collect()) == [("n1", "n0", 1), ("n1", "n2", 1), ("n1", "n3", 2)]
     assert max(_join_rows(spark, out)) < 100
+
+
+def test_related_facts_meet_as_lists(spark, monkeypatch):
+    """Pages and facts of a value are joined as lists: rows of joins were pairs of them before. A page without a name counts."""
+    monkeypatch.setattr(up, "PARTS", 2)
+    monkeypatch.setattr(up, "FACTS", 10)
+    links = spark.createDataFrame([(f"p{i}" if i else None, f"s{i}") for i in range(100)], "page string, node_id string")
+    nodes = spark.createDataFrame([("n0", "same"), ("n1", "same"), ("n2", "unknown")], "node_id string, content string")
+    edges = spark.createDataFrame([(f"s{i}", f"n{k}") for i in range(100) for k in range(3)], "source_id string, target_id string")
+    facts = spark.createDataFrame([(i, "same") for i in range(90)] + [(i, v) for i in (200, 201) for v in ("same", "other")], "entry_id long, value string")
+    out = up.related_facts(links, nodes, edges, facts)
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == {(f"p{i}" if i else None, e) for i in range(100) for e in [*range(90), 200, 201]} and len(got) == 100 * 92
+    assert max(_join_rows(spark, out)) < 3000
