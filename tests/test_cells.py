@@ -114,3 +114,12 @@ def test_topic_overlap_writes_candidates_alone(spark, monkeypatch):
     likes = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a in sets for b in sets if a < b}
     assert got == {k: v for k, v in likes.items() if v >= 0.3} and len(got) >= 20
     assert set(got) <= seen[0] and len(seen[0]) < 1000 < 300 * 299 // 2
+
+
+def test_topic_overlap_keeps_words_and_sketches_in_columns(spark, monkeypatch):
+    """Checkpoints hold whole rows, uncompressed: words and sketches of all nodes took most of the room."""
+    seen, own = [], gr.cut
+    monkeypatch.setattr(gr, "cut", lambda df: seen.append(set(df.columns)) or own(df))
+    nodes = spark.createDataFrame([(f"n{i}", f"alpha{i % 9} beta{i % 5} gamma delta") for i in range(40)], "node_id string, content string")
+    assert gr.topic_overlap(nodes, {}).count() > 0
+    assert seen and not any({"words", "sketch"} & columns for columns in seen)
